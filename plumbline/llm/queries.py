@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import jaccard_join
+from plumbline.llm import jaccard_join, line_dedup, spans, substring_dedup
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_in_component")
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(ex.read_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(ex.read_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op5_jaccard_join, op9_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -169,3 +169,19 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
         sums = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def sequence_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs items[start:end] of 64-bit hashes, in order."""
+    up, down = _tables(len(items) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(items) + 1, dtype=U64)
+        np.cumsum(items * up[: len(items)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte; one more at the end."""
+    out = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
