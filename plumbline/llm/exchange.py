@@ -108,7 +108,7 @@ class Bitmap:
 def bitmap(df: DataFrame, column: str, rows: int | None = None, most: int = 27) -> Bitmap:
     """Bitmap of a long column, made by executors; at most 2**most bits (16 MiB) reach the driver, whatever the input."""
     n = df.count() if rows is None else rows
-    log2 = min(most, max(20, int(n).bit_length() + 6))
+    log2 = min(most, max(23, int(n).bit_length() + 8))
     at = (F.col(column).bitwiseAND(F.lit((1 << log2) - 1)) + 1).alias("at")
     made = df.select(at).groupBy(F.expr("bitmap_bucket_number(at)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("m"))
     bits = np.zeros(1 << (log2 - 3), dtype=np.uint8)

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import jaccard_join, line_dedup, spans, substring_dedup
+from plumbline.llm import decontaminate, jaccard_join, line_dedup, spans, substring_dedup
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(ex.read_docs(spark, sf_dir), ex.read_docs(spark, sf_dir, "benchmark"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +28,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op5_jaccard_join, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_jaccard_join, op9_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
