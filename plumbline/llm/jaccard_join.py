@@ -107,12 +107,20 @@ def _shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
             shared = (np.bincount(group) > 1) | (np.bincount(group, weights=sig == 0) > 0)
             sig = sig[shared[group] & (sig != 0)]
         own, n = np.unique(sig, return_counts=True)
-        both, inverse = np.unique(np.concatenate([own, settled["sig"]]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([n, settled["n"]]), minlength=len(both)).astype(np.int64)
-        return pa.table({"sig": pa.array(both, pa.int64()), "shared": pa.array(total, pa.int64())})
+        told = np.zeros(len(own), dtype=SHARED)
+        told["sig"], told["n"] = own, n
+        told = np.concatenate([told, settled])
+        batch = ex.pack((told["sig"] % blocks).astype(np.int32), 0, told)
+        return pa.Table.from_batches([batch] if batch else [], schema=ex.PACKED_ARROW)
+
+    def total(table: pa.Table) -> pa.Table:
+        told = ex.unpack(table, 0, SHARED)
+        own, inverse = np.unique(told["sig"], return_inverse=True)
+        n = np.bincount(inverse, weights=told["n"], minlength=len(own)).astype(np.int64)
+        return pa.table({"sig": pa.array(own, pa.int64()), "shared": pa.array(n, pa.int64())})
 
     sent = docs.mapInArrow(ex.map_flushed(per_chunk, flush), ex.PACKED)
-    return sent.groupBy("block").applyInArrow(at_block, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("block").applyInArrow(at_block, ex.PACKED).groupBy("block").applyInArrow(total, "sig long, shared long")
 
 
 def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
