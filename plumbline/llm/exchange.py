@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def pack(blocks: np.ndarray, kind: int, records: np.ndarray) -> pa.RecordBatch |
 
 def unpack(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     """All records of one kind in a block."""
-    chosen = table.column("payload").filter(pa.compute.equal(table.column("kind"), kind))
+    chosen = table.column("payload").filter(pc.equal(table.column("kind"), kind))
     data, _ = tc.buffers(chosen)
     return np.frombuffer(data.tobytes(), dtype=dtype)
 

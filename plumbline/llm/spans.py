@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
                 gone[hit] = [len(a) - len(b) for a, b in zip(old, new, strict=True)]
                 mask = np.zeros(len(text), dtype=bool)
                 mask[hit] = True
-                text = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+                text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
             columns = [text if name == "text" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], names=[*batch.schema.names, "removed_chars"])
 
