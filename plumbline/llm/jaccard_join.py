@@ -19,6 +19,9 @@ Every step is exact; hashes are 64 bits wide.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,12 +47,20 @@ def _signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sig.view(np.int64)
 
 
-def _sets(k: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes, cuts = tc.Words(data, offsets, tc.NON_SPACE).shingle_sets(k)
+#: (bytes, offsets) -> (hashes, n + 1 offsets): the sets of some documents, ascending.
+SetsOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def word_shingles(k: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tc.Words(data, offsets, tc.NON_SPACE).shingle_sets(k)
+
+
+def _sets(sets_of: SetsOf, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, cuts = sets_of(data, offsets)
     return hashes, cuts, _signatures(hashes, cuts)
 
 
-def signed_sets(docs: DataFrame, k: int) -> DataFrame:
+def signed_sets(docs: DataFrame, sets_of: SetsOf) -> DataFrame:
     """(row_key, doc_id, n_shingles, sig) of every row."""
     out = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 
@@ -59,7 +70,7 @@ def signed_sets(docs: DataFrame, k: int) -> DataFrame:
             n, sig = [], []
             for first, last in tc.chunks(offsets):
                 own = offsets[first : last + 1]
-                _, cuts, s = _sets(k, data[own[0] : own[-1]], own - own[0])
+                _, cuts, s = _sets(sets_of, data[own[0] : own[-1]], own - own[0])
                 n.append(np.diff(cuts))
                 sig.append(s)
             if n:
@@ -68,11 +79,11 @@ def signed_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "row_key long, doc_id long, n_shingles long, sig long")
 
 
-def _shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
+def _shared_counts(docs: DataFrame, sets_of: SetsOf, blocks: int) -> DataFrame:
     """(sig, shared): an upper bound of how many of a set's shingles are in another set as well."""
 
     def per_chunk(batch, data, offsets, first, last):  # noqa: ANN001, ANN202
-        hashes, cuts, sig = _sets(k, data, offsets)
+        hashes, cuts, sig = _sets(sets_of, data, offsets)
         return hashes, np.repeat(sig, np.diff(cuts))
 
     def flush(parts: list) -> list:
@@ -123,7 +134,7 @@ def _shared_counts(docs: DataFrame, k: int, blocks: int) -> DataFrame:
     return sent.groupBy("block").applyInArrow(at_block, ex.PACKED).groupBy("block").applyInArrow(total, "sig long, shared long")
 
 
-def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, sets_of: SetsOf, wanted: DataFrame) -> DataFrame:
     """(sig, n, h array) of the wanted (row_key, sig, n): a bitmap of their keys picks rows in the scan, a join settles it."""
     chosen = docs.sparkSession.sparkContext.broadcast(ex.bitmap(wanted, "row_key"))
     out = pa.schema([("row_key", pa.int64()), ("h", pa.list_(pa.int64()))])
@@ -134,7 +145,7 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             data, offsets = tc.buffers(batch.column("text"))
             for first, last in tc.chunks(offsets):
                 own = offsets[first : last + 1]
-                hashes, cuts, _ = _sets(k, data[own[0] : own[-1]], own - own[0])
+                hashes, cuts, _ = _sets(sets_of, data[own[0] : own[-1]], own - own[0])
                 yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))], schema=out)
 
     return docs.mapInArrow(run, "row_key long, h array<long>").join(wanted, "row_key").dropDuplicates(["sig"]).select("sig", "n", "h")
@@ -244,13 +255,27 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     results, each its own row.  A null doc_id takes part and is never a component's name unless all its ids are null.
     Extra columns are ignored.
     """
+    return components_of(docs, partial(word_shingles, k), percent)
+
+
+def components_of(docs: DataFrame, sets_of: SetsOf, percent: int, length_partitions: bool = False) -> DataFrame:
+    """similar_components() of any sets.
+
+    With length_partitions, sets are also partitioned by length: a partition ends where its sizes exceed those at its
+    beginning by 100 / percent, and a set is in its own and the next partition, so only linkable sizes meet.
+    """
     rows = ex.keyed(docs)
     blocks = ex.block_count(rows)
-    signed = ex.checkpoint(signed_sets(rows, k))
+    signed = ex.checkpoint(signed_sets(rows, sets_of))
     classes = signed.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.count("*").alias("rows"))
-    enough = classes.join(_shared_counts(rows, k, blocks), "sig").filter(f"100 * shared >= {percent} * n").select("row_key", "sig", "n")
-    sets = ex.checkpoint(_sets_of(rows, k, ex.checkpoint(enough)))
-    prefixes = ex.checkpoint(_prefixes(sets, percent, blocks))
+    enough = classes.join(_shared_counts(rows, sets_of, blocks), "sig").filter(f"100 * shared >= {percent} * n").select("row_key", "sig", "n")
+    sets = ex.checkpoint(_sets_of(rows, sets_of, ex.checkpoint(enough)))
+    prefixes = _prefixes(sets, percent, blocks)
+    if length_partitions:
+        own = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+        part = sets.select("sig", F.explode(F.array(own, own + 1)).alias("part"))
+        prefixes = prefixes.join(part, "sig").select("sig", F.xxhash64("h", "part").alias("h"))
+    prefixes = ex.checkpoint(prefixes)
     hubs = prefixes.groupBy("h").agg(F.min("sig").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("h", "hub")
     groups = ex.components(prefixes.join(hubs, "h").filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")))
     found = ex.components(_links(sets, groups, percent, blocks))

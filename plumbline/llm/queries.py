@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, quality_crf, spans, substring_dedup, toxicity_kn
+from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, quality_crf, spans, spotsigs, substring_dedup, toxicity_kn
 
 
 def _held_out_scores(scored: DataFrame, threshold: float) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(ex.read_docs(spark, sf_dir), ex.read_docs(spark, sf_dir, "benchmark"))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_report(ex.read_docs(spark, sf_dir))
+
+
 def op4_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ex.read_docs(spark, sf_dir).select("doc_id", "text")
     model = toxicity_kn.fit(docs, ex.read_docs(spark, sf_dir, "labels"))
@@ -44,5 +48,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op9_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
