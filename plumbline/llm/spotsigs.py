@@ -153,10 +153,12 @@ EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 
 def _compared(rows: list[tuple]) -> pa.RecordBatch:
     """Results of (run, border, doc_id, text) rows that have their next row behind them."""
-    pairs = [(a, b) for a, b in zip(rows[:-1], rows[1:], strict=True) if not a[1]]
+    whole = fingerprints([r[3] for r in rows])
+    at = [i for i, r in enumerate(rows[:-1]) if not r[1]]
+    pairs = [(rows[i], rows[i + 1]) for i in at]
     texts = [a[3] for a, _ in pairs]
     edited = [a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3] for a, b in pairs]
-    own, others, nexts = fingerprints(texts), fingerprints(edited), fingerprints([b[3] for _, b in pairs])
+    own, nexts, others = [whole[i] for i in at], [whole[i + 1] for i in at], fingerprints(edited)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([a[2] for a, _ in pairs], pa.int64()),
