@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, quality_crf, spans, spotsigs, substring_dedup, toxicity_kn
+from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, pii, quality_crf, spans, spotsigs, substring_dedup, toxicity_kn
 
 
 def _held_out_scores(scored: DataFrame, threshold: float) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(quality_crf.score(docs, model), 0.3)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(ex.read_docs(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(ex.read_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
@@ -48,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op7_pii, op9_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
