@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, pii, quality_crf, spans, spotsigs, substring_dedup, toxicity_kn
+from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, mixing, pii, quality_crf, quote_links, spans, spotsigs, substring_dedup, toxicity_kn
 
 
 def _held_out_scores(scored: DataFrame, threshold: float) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(ex.read_docs(spark, sf_dir), ex.read_docs(spark, sf_dir, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ex.read_docs(spark, sf_dir).select("doc_id", "text")
+    return mixing.mixed(docs, ex.read_docs(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(ex.read_docs(spark, sf_dir))
 
@@ -42,6 +47,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(ex.read_docs(spark, sf_dir))
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quote_links.reply_ordered(ex.read_docs(spark, sf_dir, "conversations"))
+    return out.drop("text")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(ex.read_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
@@ -52,5 +62,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed"), "removed_chars", spans.as_text("removed_spans").alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op7_pii, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op7_pii, op8_quote_links, op9_line_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
