@@ -246,12 +246,12 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int, blocks: int) -> Dat
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(row_key, doc_id, n_shingles, component_id, n_in_component) for every row of documents.
+    """(row_key, doc_id, n_shingles, component_id, n_in_component, component_key) for every row of documents.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  A row's set is its distinct k-word shingles;
     with fewer words, the whole sequence; without words or text (null, empty, white space), empty.  Two rows are
     linked when ``100 * intersection >= percent * union``; component_id is the smallest doc_id reachable, the row's
-    own included.  Empty sets link with nothing: their component is themselves.  Rows equal in id and text get equal
+    own included; component_key tells components apart also where ids are null.  Empty sets link with nothing: their component is themselves.  Rows equal in id and text get equal
     results, each its own row.  A null doc_id takes part and is never a component's name unless all its ids are null.
     Extra columns are ignored.
     """
@@ -281,6 +281,17 @@ def components_of(docs: DataFrame, sets_of: SetsOf, percent: int, length_partiti
     found = ex.components(_links(sets, groups, percent, blocks))
     named = found.join(classes.select(F.col("sig").alias("node"), "least_id", "rows"), "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("rows").alias("members"))
-    names = named.select("node", "root").join(names, "root").select(F.col("node").alias("sig"), "component_id", "members")
-    alone = classes.select("sig", "least_id", "rows").join(names, "sig", "left").select("sig", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("members", "rows").alias("n_in_component"))
-    return signed.join(alone, "sig", "left").select("row_key", "doc_id", "n_shingles", F.when(F.col("sig") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_in_component", F.lit(1)).alias("n_in_component"))
+    names = named.select("node", "root").join(names, "root").select(F.col("node").alias("sig"), "component_id", "members", F.col("root").alias("component_key"))
+    alone = classes.select("sig", "least_id", "rows").join(names, "sig", "left").select("sig", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("members", "rows").alias("n_in_component"), F.coalesce("component_key", "sig").alias("component_key"))
+    return signed.join(alone, "sig", "left").select("row_key", "doc_id", "n_shingles", F.when(F.col("sig") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_in_component", F.lit(1)).alias("n_in_component"), F.coalesce("component_key", "row_key").alias("component_key"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each component of similar rows: the one with the smallest doc_id (then hash of id
+    and text).  Rows that are like no other, those with empty sets included, stay as they are."""
+    crowd = ex.checkpoint(similar_components(docs, k, percent).filter("n_in_component > 1 AND n_shingles > 0").select("row_key", "doc_id", "component_key"))
+    first = crowd.groupBy("component_key").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("__row_key")).select("__row_key")
+    each = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+    others = each.join(crowd.select(F.col("row_key").alias("__row_key")).distinct(), "__row_key", "left_anti")
+    chosen = each.join(first, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return others.unionByName(chosen).drop("__row_key")

@@ -42,7 +42,9 @@ def test_posteriors_and_totals(tables):
     assert np.abs(totals - want).max() < 5e-3 * tokens
 
 
-def test_rates_are_optimal_where_targets_are_out_of_reach(spark):
+def test_rates_are_optimal_where_targets_are_out_of_reach(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_GAIN", 1e-9)
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 200)
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 60)
     t = rng.integers(1, 400, 60)
