@@ -34,14 +34,24 @@ TOLERANCE, LEAST_GAIN, MOST_ROUNDS = 1e-6, 1e-3, 48
 KEEP = 8
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text: what stands between white space, case and marks included."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " "), lambda w: w != "")
+def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
+    """(*keep, words, n_tokens, shapes): what stands between white space, case and marks included, how many that are, and marks
+    of the text's make-up.  words may have an empty string at either end.
 
-
-def features_of(words: Column) -> Column:
-    """What the classifier looks at: distinct words, and the distinct last two characters of words, which show marks and case."""
-    return F.concat(F.array_distinct(words), F.array_distinct(F.transform(words, lambda w: F.concat(F.lit(" "), F.right(w, F.lit(2))))))
+    The generator makes the array once for all that use it; as a plain column it would be computed again in each use.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    once = docs.select(*keep, text.alias("__text"), F.explode(F.array(F.split(text, r"\s+"))).alias("words"))
+    ends = (F.get("words", F.lit(0)) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    counted = once.withColumn("n_tokens", (F.size("words") - ends).cast("long"))
+    n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
+    marks, upper, distinct = F.regexp_count("__text", F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()-]")) / n, F.regexp_count("__text", F.lit("[A-Z]{2}")) / n, F.size(F.array_distinct("words")) / n
+    shapes = F.array(
+        F.when(marks > 1, " marks 1").when(marks > 0.3, " marks 0.3").when(marks > 0.05, " marks 0.05"),
+        F.when(upper > 1, " capitals 1").when(upper > 0.3, " capitals 0.3").when(upper > 0.1, " capitals 0.1"),
+        F.when(distinct < 0.1, " distinct 0.1").when(distinct < 0.3, " distinct 0.3").when((distinct < 0.5) & (n > 20), " distinct 0.5"),
+    )
+    return counted.select(*(c for c in counted.columns if c != "__text"), F.array_compact(shapes).alias("shapes"))
 
 
 @dataclass
@@ -52,8 +62,8 @@ class Classifier:
     #: word -> what its presence adds in each domain.
     words: dict[str, list[float]]
 
-    def posterior(self, words: Column) -> Column:
-        """array<double> over the domains, from the distinct known words in an array of words."""
+    def posterior(self, words: Column, shapes: Column) -> Column:
+        """array<double> over the domains, from the distinct known words in an array of words, and the shapes."""
         if not self.domains:
             return F.array().cast("array<double>")
         prior = F.array(*(F.lit(x) for x in self.log_prior))
@@ -64,7 +74,7 @@ class Classifier:
             names = sorted(self.words)
             flat = F.array(*(F.lit(x) for w in names for x in self.words[w]))
             vocabulary = F.array(*(F.lit(w) for w in names))
-            places = F.transform(F.array_intersect(words, vocabulary), lambda w: (F.array_position(vocabulary, w) - 1) * len(self.domains))
+            places = F.transform(F.concat(F.array_intersect(words, vocabulary), F.array_intersect(shapes, vocabulary)), lambda w: (F.array_position(vocabulary, w) - 1) * len(self.domains))
             total = F.aggregate(places, prior, lambda s, p: F.transform(s, lambda x, d: x + F.get(flat, (p + d).cast("int"))))
         top = F.array_max(total)
         scaled = F.transform(total, lambda x: F.exp(x - top))
@@ -80,12 +90,13 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, domains: DataFrame) -> Classifier:
     """From at most TRAINING_DOCUMENTS of (doc_id, domain): smoothed presence of the most telling words in each domain."""
     chosen = F.broadcast(bounded_sample(domains, TRAINING_DOCUMENTS))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("domain", features_of(words_of(F.col("text"))).alias("words"))
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    sample = with_words(texts, F.col("domain")).select("domain", F.concat(F.array_distinct("words"), "shapes").alias("words"))
+    sizes = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     names, total = list(sizes), sum(sizes.values())
     if not names:
         return Classifier([], [], {})
-    seen = sample.select("domain", F.explode("words").alias("word"))
+    seen = sample.select("domain", F.explode("words").alias("word")).filter("word <> ''")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(names)))
     # how far the word's domains are from all documents' domains, in all its documents: the likelihood ratio statistic
     gain = sum(F.when(F.col(f"n_{i}") > 0, F.col(f"n_{i}") * F.log(F.col(f"n_{i}") * F.lit(float(total)) / (F.col("n") * F.lit(float(sizes[d]))))).otherwise(0.0) for i, d in enumerate(names))
@@ -152,9 +163,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     docs = docs.drop("n_tokens", "domain", "posterior", "rate")
     classifier = fit_classifier(docs, domain_of_labels(labels))
-    words = docs.withColumn("__words", words_of(F.col("text")))
-    members = words.select(F.xxhash64("doc_id", "text").alias("key"), F.size("__words").cast("long").alias("n_tokens"), classifier.posterior(features_of(F.col("__words"))).alias("posterior"))
-    members = ex.checkpoint(members)
+    words = with_words(docs, F.xxhash64("doc_id", "text").alias("key"))
+    members = ex.checkpoint(words.select("key", "n_tokens", classifier.posterior(F.col("words"), F.col("shapes")).alias("posterior")))
     mix = fit_rates(members, classifier.domains, TARGETS if targets is None else targets, budget)
     top = F.array_max("posterior")
     names = F.array(*(F.lit(d) for d in classifier.domains)).cast("array<string>")
