@@ -15,14 +15,12 @@ def tables(spark):
 
 
 def shapes(text):
-    words = re.split("[ \t\n\x0b\x0c\r]+", text)
-    n = max(1, len([w for w in words if w]))
-    marks = sum(not (c.isalnum() or c in " \t\n\x0b\x0c\r.,;:!?'\"()-") for c in text) / n
-    upper, distinct = len(re.findall("[A-Z]{2}", text)) / n, len(set(words)) / n
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    n = max(1, len(words))
+    odd, distinct = len(re.findall(mixing.ODD, text)) / n, len(set(words)) / n
     first = lambda *steps: [name for ok, name in steps if ok][:1]
     return {
-        *first((marks > 1, " marks 1"), (marks > 0.3, " marks 0.3"), (marks > 0.05, " marks 0.05")),
-        *first((upper > 1, " capitals 1"), (upper > 0.3, " capitals 0.3"), (upper > 0.1, " capitals 0.1")),
+        *first((odd > 1, " odd 1"), (odd > 0.3, " odd 0.3"), (odd > 0.1, " odd 0.1")),
         *first((distinct < 0.1, " distinct 0.1"), (distinct < 0.3, " distinct 0.3"), (distinct < 0.5 and n > 20, " distinct 0.5")),
     }
 
