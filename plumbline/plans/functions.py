@@ -10,7 +10,7 @@ q("fn_division_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS a, -1 /
 q("fn_integer_division", "SELECT n_nationkey, CAST((n_nationkey - 12) // 5 AS BIGINT) AS a, CAST(n_nationkey // 4 * 2 AS BIGINT) AS b, (n_nationkey - 12) % 5 AS c FROM nation")
 q("fn_decimal_arithmetic", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DOUBLE) AS a, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) + CAST(l_tax AS DECIMAL(4,2)) AS DOUBLE) AS b, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) - 1.25 AS DOUBLE) AS c FROM lineitem WHERE l_orderkey < 400")
 q("fn_decimal_compare", "SELECT count(*) AS n FROM lineitem WHERE CAST(l_discount AS DECIMAL(4,2)) = 0.05 AND CAST(l_extendedprice AS DECIMAL(12,2)) > 1000.005")
-q("fn_abs_round", "SELECT n_nationkey, abs(n_nationkey - 12) AS a, round((n_nationkey - 12) * 0.5e0) AS b, round(n_nationkey / 7.0, 3) AS c, abs(-2.5) AS d FROM nation")
+q("fn_abs_round", "SELECT n_nationkey, abs(n_nationkey - 12) AS a, round((n_nationkey - 12) * 0.5e0) AS b, round(n_nationkey / 7.0, 3) AS c, CAST(abs(-2.5) AS DOUBLE) AS d FROM nation")
 q("fn_substring", "SELECT p_partkey, substring(p_name, 2, 3) AS a, substr(p_name, -3) AS b, substring(p_name FROM 1 FOR 4) AS c, substring(p_name, 0, 3) AS d, substring(p_name, -4, 2) AS e, substr(p_name, 4) AS f FROM part")
 q("fn_substring_computed", "SELECT n_nationkey, substring(n_name, n_nationkey - 5, n_regionkey - 1) AS a, substring(n_name, n_regionkey - 2, 4) AS b FROM nation")
 q("fn_strlen", "SELECT doc_id, strlen(text) AS bytes, lang FROM documents")

@@ -12,7 +12,7 @@ q("join_left_condition_on_left", "SELECT n_nationkey, r_name FROM nation LEFT JO
 q("join_full", "SELECT a.k AS ak, b.k AS bk FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 12) a FULL JOIN (SELECT n_nationkey + 5 AS k FROM nation) b ON a.k = b.k")
 q("join_full_residual", "SELECT a.n_name AS a, b.n_name AS b FROM nation a FULL OUTER JOIN nation b ON a.n_regionkey = b.n_nationkey AND a.n_nationkey > b.n_regionkey")
 q("join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-q("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+q("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 q("join_null_aware_anti", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 99) FROM region)")
 q("join_null_aware_anti_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 3) FROM region)")
 q("join_null_aware_anti_empty", "SELECT count(*) AS n FROM nation WHERE NULLIF(n_nationkey, 4) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 100)")

@@ -23,4 +23,4 @@ q("pred_exact_literals", "SELECT count(*) AS n FROM orders WHERE o_orderkey > 1.
 q("pred_column_columns", "SELECT count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate > o.o_orderdate AND l.l_extendedprice < o.o_totalprice")
 q("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 q("select_distinct_expression", "SELECT DISTINCT o_orderkey % 7 AS m, NULLIF(o_orderstatus, 'F') AS s FROM orders")
-q("constant_rows", "SELECT 1 AS a, 'x''y' AS b, CAST(NULL AS BIGINT) AS c, 1.5 AS d, DATE '2020-02-29' AS e")
+q("constant_rows", "SELECT 1 AS a, 'x''y' AS b, CAST(NULL AS BIGINT) AS c, CAST(1.5 AS DOUBLE) AS d, DATE '2020-02-29' AS e")

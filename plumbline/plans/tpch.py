@@ -27,7 +27,7 @@ q("tpch_q09_profit", f"""SELECT n_name, EXTRACT(year FROM o_orderdate) AS y, rou
 q("tpch_q10_returned", f"""SELECT c_custkey, c_name, round(sum({REV}), 4) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey
   AND o_orderdate >= TIMESTAMP '1996-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-10-01 00:00:00' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
 q("tpch_q11_important_stock", """SELECT l_partkey, round(sum(l_extendedprice), 2) AS value FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1
-  GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT sum(l_extendedprice) * 0.002 FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1)""")
+  GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT sum(l_extendedprice) * 0.0008 FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1)""")
 q("tpch_q12_priority_counts", """SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY l_linestatus""")
 q("tpch_q13_order_counts", "SELECT c_count, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%LOW%' GROUP BY c_custkey) c GROUP BY c_count")
@@ -47,7 +47,7 @@ q("tpch_q21_waiting", """SELECT s_name, count(*) AS n FROM supplier, lineitem l1
   AND EXISTS (SELECT * FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT * FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_quantity > l1.l_quantity)
   AND s_nationkey = n_nationkey AND n_regionkey = 3 GROUP BY s_name""")
 q("tpch_q22_opportunity", """SELECT code, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM (SELECT substring(c_name, 16, 2) AS code, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
-  AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)) c GROUP BY code""")
+  AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)) c GROUP BY code""")
 q("ds_channel_growth", """WITH y AS (SELECT o_custkey AS c, EXTRACT(year FROM o_orderdate) AS y, sum(o_totalprice) AS t FROM orders GROUP BY 1, 2)
   SELECT a.c, round(b.t / a.t, 6) AS growth FROM y a JOIN y b ON a.c = b.c AND b.y = a.y + 1 WHERE a.y = 1996 AND a.t > 0 AND b.t / a.t > 1.5""")
 q("ds_ratio_to_class", """SELECT p_brand, p_type, round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice) * 100 / sum(sum(l_extendedprice)) OVER (PARTITION BY p_brand), 6) AS ratio FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY p_brand, p_type""")
