@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
-from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, mixing, pii, quality_crf, quote_links, spans, spotsigs, substring_dedup, toxicity_kn
+from plumbline.llm import decontaminate, jaccard_join, labelled, line_dedup, mixing, oracles, pii, quality_crf, quote_links, spans, spotsigs, substring_dedup, toxicity_kn
 
 
 def _held_out_scores(scored: DataFrame, threshold: float) -> DataFrame:
@@ -63,4 +63,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_spotsigs, op4_toxicity_kn, op5_jaccard_join, op6_quality_crf, op7_pii, op8_quote_links, op9_line_dedup, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
