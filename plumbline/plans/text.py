@@ -12,12 +12,21 @@ from plumbline.plans.registry import register
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+#: Tables by session and path: their footers and file lists are read once, as in any catalogue of read-only tables.
+_known: dict[tuple[str, str], DataFrame] = {}
+
+
 def engine_for(spark: SparkSession, sf_dir: str, text: str | None = None) -> Engine:
     """An engine with the tables of a folder that a text names (all: without a text)."""
     engine = Engine(spark)
     for t in TABLES:
         if text is None or re.search(rf"\b{t}\b", text, re.I):
-            engine.register(t, f"{sf_dir}/{t}.parquet", check=False)
+            path = f"{sf_dir}/{t}.parquet"
+            key = (spark.sparkContext.applicationId, path)
+            if key not in _known:
+                _known[key] = engine.register(t, path, check=False)
+            else:
+                engine.register_frame(t, _known[key])
     return engine
 
 
