@@ -1,9 +1,10 @@
 """Substring dedup by hashing normalised units of text.
 
-Units are lines and, within lines, sentences (a word ending in ``.``, ``!`` or ``?`` ends one), so a repeated passage
-is found also where it was put into the middle of a line.  A unit is normalised by lower-casing A-Z and by taking its
-words only (white space does not count), and gets a 128-bit digest.  Digests are grouped globally; the occurrence
-with the smallest (doc_id, offset) stays and all others go.
+Units are lines and, within lines, sentences (a word ending in ``.``, ``!`` or ``?`` ends one) and pairs of neighbouring
+runs of words (a sentence, or a word whose hash says so, begins a run), so a repeated passage is found also where it was
+put into the middle of a line, or has no sentences.  A unit is normalised by lower-casing A-Z and by taking its words only (white space does
+not count), and gets a 128-bit digest.  Digests are grouped globally; the occurrence with the smallest (doc_id, offset)
+stays and all others go.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from plumbline.llm import exchange as ex
 from plumbline.llm import spans
 from plumbline.llm import textcore as tc
 
+#: A run of words begins at one word in so many, by its hash, and so at the same words wherever a passage stands.
+ONE_IN = 6
 UNIT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
 GONE = np.dtype([("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
 LAST = np.iinfo(np.int64).max
@@ -37,15 +40,19 @@ def units(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, key: np.ndarra
     nexts = np.append(words.starts[1:], 0)
     last = words.doc_first[1:][words.counts > 0] - 1
     nexts[last] = offsets[1:][words.counts > 0]
+    runs = sentence | (words.hashes % np.uint64(ONE_IN) == 0)
     made = []
-    for is_head in (line, sentence):
-        a = np.flatnonzero(is_head)
+    for kind in ("line", "sentence", "runs"):
+        a = np.flatnonzero({"line": line, "sentence": sentence, "runs": runs}[kind])
         b = np.append(a[1:], n)
+        if kind == "sentence":  # a line of one sentence is a unit already
+            other = ~(line[a] & np.append(line, True)[b])
+            a, b = a[other], b[other]
+        elif kind == "runs":  # with the run behind it, unless a line ends between them
+            other = ~np.append(line, True)[b]
+            a, b = a[other], np.append(b[1:], n)[other]
         long = b - a >= min_words
         a, b = a[long], b[long]
-        if is_head is sentence:  # a line of one sentence is a unit already
-            single = line[a] & np.append(line, True)[b]
-            a, b = a[~single], b[~single]
         out = np.zeros(len(a), dtype=UNIT)
         out["h1"], out["h2"] = tc.sequence_hashes(words.hashes, a, b), tc.sequence_hashes(second, a, b)
         d = of[a]

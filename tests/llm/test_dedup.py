@@ -10,33 +10,77 @@ def rank(row):
     return (LAST if row[0] is None else row[0], row[1] or "")
 
 
-def test_substring_dedup_equals_brute_force(docs, rows, spark):
-    clean = [r for r in {r[:2] for r in rows} if sum(1 for x in {y[:2] for y in rows} if x[0] == r[0]) == 1]
-    got = {r.doc_id: (r.text, r.removed_spans or []) for r in substring_dedup.dedup(spark.createDataFrame(clean, "doc_id long, text string").repartition(3), 4).collect()}
-    seen, want = set(), {}
+def brute_substring(clean, least):
+    """{doc: (text, spans)}: units in order of rank, each compared with the first of its kind."""
+    first, out = set(), {}
+    low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     for d, t in sorted(clean, key=rank):
-        spans = set()
         found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
-        units = {}
-        for kind in ("line", "sentence"):
-            head = 0
-            for i in range(1, len(found) + 1):
-                end = i == len(found) or "\n" in t[found[i - 1][1] : found[i][0]] or (kind == "sentence" and t[found[i - 1][1] - 1] in ".!?")
-                if end:
-                    units.setdefault((head, i), None)
-                    head = i
+        words = [low(t[a:b]) for a, b in found]
+        at = [a for a, _ in found] + [len(t or "")]
+        line = [i == 0 or "\n" in t[found[i - 1][1] : found[i][0]] for i in range(len(found))] + [True]
+        stop = [i == 0 or line[i] or words[i - 1][-1] in ".!?" for i in range(len(found))] + [True]
+        cut = [x or i < len(words) and hashed(words[i]) % substring_dedup.ONE_IN == 0 for i, x in enumerate(stop)]
+        units = set()
+        for marks in (line, stop, cut):
+            heads = [i for i, x in enumerate(marks) if x]
+            if marks is cut:
+                units |= {(a, c) for a, b, c in zip(heads, heads[1:], heads[2:], strict=False) if c - a >= least and not line[b]}
+            else:
+                units |= {(a, b) for a, b in zip(heads, heads[1:], strict=False) if b - a >= least}
+        spans = set()
         for a, b in sorted(units):
-            if b - a < 4:
-                continue
-            key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), t[x:y]) for x, y in found[a:b])
-            if key in seen:
-                spans.add((found[a][0] << 32) | (found[b][0] if b < len(found) else len(t)))
-            seen.add(key)
-        want[d] = (substring_dedup.spans.kept(t, sorted(spans)) if t is not None else None, sorted(spans))
+            key = tuple(words[a:b])
+            if key in first:
+                spans.add((at[a] << 32) | at[b])
+            first.add(key)
+        out[d] = (None if t is None else substring_dedup.spans.kept(t, sorted(spans)), sorted(spans))
+    return out
+
+
+def hashed(word):
+    import numpy as np
+
+    from plumbline.llm import textcore as tc
+
+    data = np.frombuffer(word.encode(), dtype=np.uint8)
+    return int(tc.Words(data, np.array([0, len(data)]), tc.NON_SPACE).hashes[0])
+
+
+def test_substring_dedup_equals_brute_force(rows, spark):
+    clean = [r for r in {r[:2] for r in rows} if sum(1 for x in {y[:2] for y in rows} if x[0] == r[0]) == 1]
+    got = {r.doc_id: (r.text, r.removed_spans or []) for r in substring_dedup.dedup(spark.createDataFrame(clean, "doc_id long, text string").repartition(3), 4).collect()}
+    want = brute_substring(clean, 4)
     assert got == want
     assert any(s for _, s in want.values())
 
 
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    import random
+
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(1, 4)))
+    prose = lambda n: " ".join(word() + rnd.choice(["", "", "", "", "", ".", ","]) for _ in range(n))
+    passages = [prose(60) for _ in range(6)] + [" ".join(word() for _ in range(60)) for _ in range(4)]
+    rows, planted = [], {}
+    for i in range(120):
+        text = prose(80)
+        if i % 3 == 0:
+            p = passages[(i // 3) % len(passages)]
+            at = text.index(" ", 100 + i) + 1
+            text, planted[i] = text[:at] + p + " " + text[at:], p
+        rows.append((i, text))
+    out = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    seen, shares = set(), []
+    for i, text in rows:
+        if i not in planted or planted[i] not in seen:
+            assert out[i].text == text
+            seen.add(planted.get(i))
+        else:
+            shares.append(out[i].removed_chars / len(planted[i]))
+    assert sum(shares) / len(shares) > 0.7 and min(shares) > 0.4
+
+
 def test_repeated_rows_and_columns_stay(docs, rows):
     for dedup in (substring_dedup.dedup, line_dedup.dedup):
         out = dedup(docs).collect()
