@@ -32,8 +32,8 @@ al como con de del el ella en era es esta este fue ha la las lo los más me no p
 sus también un una y ya
 """.split()
 CHAIN = 2
-#: Rows whose texts one sorted run of neighbours has, about.
-RUN_ROWS = 4_000
+#: Rows whose texts one sorted run of neighbours has, about, and runs that a task has.
+RUN_ROWS, TASK_RUNS = 1_000, 4
 #: Most runs; with more rows than RUN_ROWS times this, runs become longer.
 MOST_RUNS = 1 << 17
 #: A null id comes behind all others.
@@ -131,7 +131,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     if not n:
         return rows.select(F.lit(0).alias("run"), F.lit(0).alias("border"), "doc_id", "row_key", "text")
     runs = min(MOST_RUNS, n // RUN_ROWS + 1)
-    bounds = sorted({int(x) for x in ids.agg(F.percentile_approx("at", [i / runs for i in range(1, runs)], 100 * runs).alias("b")).first()["b"]}) if runs > 1 else []
+    bounds = sorted({int(x) for x in ids.agg(F.percentile_approx("at", [i / runs for i in range(1, runs)], min(100 * runs, 1_000_000)).alias("b")).first()["b"]}) if runs > 1 else []
     held = docs.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
 
     def deal(batches):  # noqa: ANN001, ANN202
@@ -144,7 +144,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     firsts = docs.sparkSession.createDataFrame([(top, run) for top, run in before.items()], "at long, run int")
     border = rows.join(F.broadcast(firsts), "at").groupBy("run").agg(F.min_by(F.struct("doc_id", "row_key", "text"), "row_key").alias("r")).select("run", F.lit(1).alias("border"), "r.doc_id", "r.row_key", "r.text", F.lit(LOWEST).alias("at"))
     dealt = rows.mapInArrow(deal, "run int, row_key long, doc_id long, text string, at long").select("run", F.lit(0).alias("border"), "doc_id", "row_key", "text", "at")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs // TASK_RUNS)
     return dealt.unionByName(border).repartition(parts, "run").sortWithinPartitions("run", "border", F.desc("at"), "row_key").drop("at")
 
 
