@@ -96,9 +96,15 @@ def removals(rows: DataFrame, min_words: int) -> DataFrame:
     def at_block(table: pa.Table) -> pa.Table:
         found, again = repeats(ex.unpack(table, 0, UNIT))
         gone = np.concatenate([_gone(found[again]), ex.unpack(table, 1, GONE)])
+        batch = ex.pack((gone["key"] % blocks).astype(np.int32), 1, gone)
+        return pa.Table.from_batches([batch] if batch else [], schema=ex.PACKED_ARROW)
+
+    def by_row(table: pa.Table) -> pa.Table:
+        gone = np.unique(ex.unpack(table, 1, GONE))
         return spans.answers(gone["key"], gone["start"], gone["end"])
 
-    return spans.merged(rows.mapInArrow(ex.map_flushed(per_chunk, flush), ex.PACKED).groupBy("block").applyInArrow(at_block, spans.ANSWER))
+    sent = rows.mapInArrow(ex.map_flushed(per_chunk, flush), ex.PACKED)
+    return sent.groupBy("block").applyInArrow(at_block, ex.PACKED).groupBy("block").applyInArrow(by_row, spans.ANSWER)
 
 
 def dedup(docs: DataFrame, min_words: int = 6) -> DataFrame:

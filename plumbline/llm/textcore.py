@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one call of a kernel works on (a longer text is one call).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
