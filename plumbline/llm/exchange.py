@@ -10,6 +10,7 @@ that is in a third of all rows from filling one block.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees the shuffle files of what is written down by now.
+
+    Spark's cleaner deletes the files of a shuffle when the driver has collected its last reference, which on a driver
+    with little to do can take until long after the next shuffle has filled the disks.  Call it after a checkpoint
+    of something large, with no variable left that holds what came before.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, text) of documents: rows equal in id and text share a key, and so a result."""
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -67,6 +79,29 @@ def unpack(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(data.tobytes(), dtype=dtype)
 
 
+def pack_runs(run_blocks: np.ndarray, runs: np.ndarray, blocks: np.ndarray, items: np.ndarray) -> pa.RecordBatch | None:
+    """One row of kind 0 for each block: how many runs, the runs' records, then their items.  Both are sorted by block, and the
+    items by run: apart, the two halves compress better than one record for each item would."""
+    if not len(runs):
+        return None
+    cuts = np.append(np.flatnonzero(np.append(True, run_blocks[1:] != run_blocks[:-1])), len(runs))
+    payload = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low, high = np.searchsorted(blocks, run_blocks[a]), np.searchsorted(blocks, run_blocks[a], side="right")
+        payload.append(np.int64(b - a).tobytes() + runs[a:b].tobytes() + items[low:high].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(run_blocks[cuts[:-1]], pa.int32()), pa.array(np.zeros(len(payload), np.int32)), pa.array(payload, pa.binary())], schema=PACKED_ARROW)
+
+
+def unpack_runs(table: pa.Table, run: np.dtype, item: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All runs and all items of kind 0 in a block, in step."""
+    runs, items = [np.zeros(0, run)], [np.zeros(0, item)]
+    for payload in table.column("payload").filter(pc.equal(table.column("kind"), 0)).to_pylist():
+        n = int(np.frombuffer(payload, np.int64, 1)[0])
+        runs.append(np.frombuffer(payload, run, n, 8))
+        items.append(np.frombuffer(payload, item, -1, 8 + n * run.itemsize))
+    return np.concatenate(runs), np.concatenate(items)
+
+
 def map_flushed(per_chunk: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int, int], object], flush: Callable[[list], list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function: works on chunks of whole documents and flushes what they gave.
 

@@ -33,7 +33,8 @@ from plumbline.llm import textcore as tc
 #: Sets that meet in one task of the product; larger row groups are split into pairs of blocks.
 ROW_BLOCK = 1500
 SHARED = np.dtype([("sig", "<i8"), ("n", "<i4")])
-SEEN = np.dtype([("h", "<u4"), ("sig", "<i8")])
+#: A set's shingles in a block: how many, then 32 bits of each.
+SEEN = np.dtype([("sig", "<i8"), ("n", "<i4")])
 
 
 def _signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,16 +102,20 @@ def _shared_counts(docs: DataFrame, sets_of: SetsOf, blocks: int) -> DataFrame:
         settled = np.zeros(len(own), dtype=SHARED)
         settled["sig"], settled["n"] = own, n
         asked = head | ~several
-        sent = np.zeros(int(asked.sum()), dtype=SEEN)
-        sent["h"], sent["sig"] = (h[asked] >> np.uint64(32)).astype(np.uint32), np.where(several[asked], 0, sig[asked])
+        sent, owner = (h[asked] >> np.uint64(32)).astype("<u4"), np.where(several[asked], 0, sig[asked])
         at = ((h[asked] & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int32)
-        by_sig = np.lexsort((sent["sig"], at))  # runs of one signature compress well
-        return [ex.pack(at[by_sig], 0, sent[by_sig]), ex.pack((own % blocks).astype(np.int32), 1, settled)]
+        order = np.lexsort((sent, owner, at))
+        sent, owner, at = sent[order], owner[order], at[order]
+        run = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])))
+        owners = np.zeros(len(run), dtype=SEEN)
+        owners["sig"], owners["n"] = owner[run], np.diff(np.append(run, len(owner)))
+        return [ex.pack_runs(at[run], owners, at, sent), ex.pack((own % blocks).astype(np.int32), 1, settled)]
 
     def at_block(table: pa.Table) -> pa.Table:
-        seen, settled = ex.unpack(table, 0, SEEN), ex.unpack(table, 1, SHARED)
-        order = np.lexsort((seen["sig"], seen["h"]))
-        h, sig = seen["h"][order], seen["sig"][order]
+        owners, h = ex.unpack_runs(table, SEEN, np.dtype("<u4"))
+        sig, settled = np.repeat(owners["sig"], owners["n"]), ex.unpack(table, 1, SHARED)
+        order = np.lexsort((sig, h))
+        h, sig = h[order], sig[order]
         if len(h):
             keep = np.append(True, (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))
             h, sig = h[keep], sig[keep]
@@ -268,14 +273,16 @@ def components_of(docs: DataFrame, sets_of: SetsOf, percent: int, length_partiti
     blocks = ex.block_count(rows)
     signed = ex.checkpoint(signed_sets(rows, sets_of))
     classes = signed.filter("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.count("*").alias("rows"))
-    enough = classes.join(_shared_counts(rows, sets_of, blocks), "sig").filter(f"100 * shared >= {percent} * n").select("row_key", "sig", "n")
-    sets = ex.checkpoint(_sets_of(rows, sets_of, ex.checkpoint(enough)))
+    enough = ex.checkpoint(classes.join(_shared_counts(rows, sets_of, blocks), "sig").filter(f"100 * shared >= {percent} * n").select("row_key", "sig", "n"))
+    ex.let_go(docs.sparkSession)
+    sets = ex.checkpoint(_sets_of(rows, sets_of, enough))
     prefixes = _prefixes(sets, percent, blocks)
     if length_partitions:
         own = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
         part = sets.select("sig", F.explode(F.array(own, own + 1)).alias("part"))
         prefixes = prefixes.join(part, "sig").select("sig", F.xxhash64("h", "part").alias("h"))
     prefixes = ex.checkpoint(prefixes)
+    ex.let_go(docs.sparkSession)
     hubs = prefixes.groupBy("h").agg(F.min("sig").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("h", "hub")
     groups = ex.components(prefixes.join(hubs, "h").filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")))
     found = ex.components(_links(sets, groups, percent, blocks))
