@@ -39,14 +39,26 @@ class Engine:
         except (AnalysisException, ParseException):
             return None
 
-    def translate(self, text: str) -> tuple[str, list[str]]:
+    def _columns(self, text: str) -> list[str] | None:
+        try:
+            return self.spark.sql(text).columns
+        except (AnalysisException, ParseException):
+            return None
+
+    def translate(self, text: str, first_of_group: bool = False) -> tuple[str, list[str]]:
         """Spark SQL text, and the helper columns at the end that a caller drops."""
-        made = Translator(lru_cache(maxsize=None)(self._types))
+        made = Translator(lru_cache(maxsize=None)(self._types), self._columns, first_of_group)
         return made.statement(text), made.hidden
 
     def sql(self, text: str) -> DataFrame:
         spark_text, hidden = self.translate(text)
-        df = self.spark.sql(spark_text)
+        try:
+            df = self.spark.sql(spark_text)
+        except AnalysisException as e:
+            if e.getCondition() is None or "SCALAR_SUBQUERY_IS_IN_GROUP_BY" not in e.getCondition():
+                raise
+            spark_text, hidden = self.translate(text, first_of_group=True)
+            df = self.spark.sql(spark_text)
         return df.drop(*hidden) if hidden else df
 
     def explain(self, text: str, mode: str = "formatted") -> str:
