@@ -22,7 +22,7 @@ from plumbline.llm import textcore as tc
 
 #: Labelled documents that the model is fitted on at most, and lines that one of them has at most.
 TRAINING_DOCUMENTS = 6_000
-TRAINING_LINES = 2_000
+TRAINING_LINES = 300
 ROUNDS = 150
 UPPER, DIGIT = tc.byte_class(bytes(range(65, 91))), tc.byte_class(bytes(range(48, 58)))
 STOP = tc.byte_class(b".,;:!?'\"()-")

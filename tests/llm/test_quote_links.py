@@ -114,3 +114,16 @@ def test_plan_is_native_and_extra_columns_stay(spark, rows):
 
 def test_empty_table(spark):
     assert quote_links.reply_ordered(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_duckdb_says_the_same(spark, rows):
+    import duckdb
+    from oracle import compare
+
+    from plumbline.llm import oracles
+
+    distinct = list(dict.fromkeys(rows))
+    c = duckdb.connect()
+    c.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    c.executemany("insert into conversations values (?, ?, ?, ?)", distinct)
+    compare(quote_links.reply_ordered(spark.createDataFrame(distinct, SCHEMA)).drop("text"), c, oracles.QUOTE_LINKS)
