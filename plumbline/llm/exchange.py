@@ -26,6 +26,8 @@ PACKED = "block int, kind int, payload binary"
 PACKED_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Text bytes whose records meet in one block.
 BLOCK_BYTES = 12 << 20
+#: Rows in a batch for Python.
+BATCH_ROWS = 1_000
 #: Text bytes that a map task gathers before it sends records.
 FLUSH_BYTES = 8 << 20
 
@@ -49,9 +51,18 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after limiting the rows that its session hands to Python at once: ten thousand texts, Spark's default, take much memory."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, text) of documents: rows equal in id and text share a key, and so a result."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import exchange as ex
 from plumbline.llm import labelled
 from plumbline.llm import textcore as tc
 
@@ -174,7 +175,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     """A model from at most TRAINING_DOCUMENTS labelled documents of the folds that may be learned from."""
     chosen = F.broadcast(labelled.bounded_sample(labelled.training_labels(labels, column), TRAINING_DOCUMENTS))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    sample = ex.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     width = 3 * OWN + 3
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     Every line of the whole text counts.  Null, empty and blank texts have no lines and get the share of label 1 among
     the training rows.  Rows are scored one by one: repeated rows get equal scores.  A column of this name is replaced.
     """
-    docs = docs.drop(column)
+    docs = ex.small_batches(docs.drop(column))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches):  # noqa: ANN001, ANN202

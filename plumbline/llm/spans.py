@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import exchange as ex
+
 #: What a block answers: removed spans of some rows as (start << 32 | end), in code points.
 ANSWER = "row_key long, spans array<long>"
 
@@ -42,7 +44,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs, all columns, with removed spans cut out of text, and two columns more: removed_spans (null: none) and
     removed_chars.  found is (row_key, spans) of rows keyed by xxhash64(doc_id, text)."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    both = docs.withColumn("__row_key", key).join(found.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("removed_spans")).hint("shuffle_hash"), "__row_key", "left").drop("__row_key")
+    both = ex.small_batches(docs).withColumn("__row_key", key).join(found.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("removed_spans")).hint("shuffle_hash"), "__row_key", "left").drop("__row_key")
     schema = T.StructType([*both.schema.fields, T.StructField("removed_chars", T.LongType())])
 
     def run(batches):  # noqa: ANN001, ANN202
