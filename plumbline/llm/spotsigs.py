@@ -63,20 +63,20 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     padded, docs = np.append(content, [n] * CHAIN), np.append(of, -1)
     hashes = np.append(h, np.uint64(0))
     with np.errstate(over="ignore"):
-        value = h[heads] * tc._PLACE[0]
+        value = h[heads] * tc.PLACE[0]
         first = docs[padded[after]] == of[heads]
         for j in range(CHAIN):
             at = padded[after + j]
             inside = docs[at] == of[heads]
-            value = value + np.where(inside, hashes[at] * tc._PLACE[j + 1], 0).astype(np.uint64)
+            value = value + np.where(inside, hashes[at] * tc.PLACE[j + 1], 0).astype(np.uint64)
         value, owner = tc.mix64(value)[first], of[heads][first]
         bare = np.setdiff1d(np.flatnonzero(words.counts > 0), owner)
         if len(bare):
             at = np.flatnonzero(np.isin(of, bare))
-            plain = h[at] * tc._PLACE[0]
+            plain = h[at] * tc.PLACE[0]
             for j in range(1, CHAIN + 1):
                 to = np.minimum(at + j, n)
-                plain = plain + np.where(docs[to] == of[at], hashes[to] * tc._PLACE[j], 0).astype(np.uint64)
+                plain = plain + np.where(docs[to] == of[at], hashes[to] * tc.PLACE[j], 0).astype(np.uint64)
             value, owner = np.append(value, tc.mix64(plain)), np.append(owner, of[at])
     wordless = np.flatnonzero((words.counts == 0) & (np.diff(offsets) > 0))
     value, owner = np.append(value, tc.range_hashes(data, offsets[wordless], offsets[wordless + 1])), np.append(owner, wordless)

@@ -44,7 +44,7 @@ _BYTE = _stream(1 << 20, 256)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 #: Odd multipliers, one for each place of a word in a shingle.
-_PLACE = _stream(1 << 30, 64) | U64(1)
+PLACE = _stream(1 << 30, 64) | U64(1)
 _powers = {"n": 0}
 
 
@@ -131,9 +131,9 @@ class Words:
         if n <= 0:
             return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
         with np.errstate(over="ignore"):
-            total = h[:n] * _PLACE[0]
+            total = h[:n] * PLACE[0]
             for j in range(1, k):
-                total += h[j : j + n] * _PLACE[j]
+                total += h[j : j + n] * PLACE[j]
         ends = np.repeat(self.doc_first[1:], self.counts)[:n]
         at = np.flatnonzero(np.arange(n) + k <= ends)
         return mix64(total[at] + U64(k)), at
@@ -151,7 +151,7 @@ class Words:
             with np.errstate(over="ignore"):
                 for i, d in enumerate(short):
                     own = self.hashes[self.doc_first[d] : self.doc_first[d + 1]]
-                    extra[i] = (own * _PLACE[: len(own)]).sum(dtype=U64) + U64(len(own))
+                    extra[i] = (own * PLACE[: len(own)]).sum(dtype=U64) + U64(len(own))
             hashes, docs = np.concatenate([hashes, mix64(extra)]), np.concatenate([docs, short])
         order = np.lexsort((hashes, docs))
         hashes, docs = hashes[order], docs[order]
