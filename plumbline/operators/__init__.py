@@ -1 +1 @@
-
+"""DataFrame operators, by family."""
