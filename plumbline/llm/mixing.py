@@ -2,12 +2,14 @@
 
 A naive Bayes classifier learned from a table of labelled documents gives every document a posterior over domains.
 Nonnegative document rates are then fitted so that the expected tokens of each domain, sum of rate * tokens *
-posterior, meet target totals: generalised least squares by projected gradient.  Every step is one aggregate over
-all documents; only sums by domain reach the driver.  Only DataFrame functions are used.
+posterior, meet target totals: generalised least squares, by Newton steps on one multiplier for each domain.  Every
+step is one aggregate over all documents; only sums by domain reach the driver.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +27,15 @@ LEAST_DOCUMENTS = 5
 LEAST_LIFT = 2.5
 #: Share of each domain (q: quality, t: toxicity, as labelled) in the mix; domains not named get none.
 TARGETS = {"q1t0": 0.90, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
-#: No document is repeated more often than this on average.
-MOST_RATE = 8.0
-#: The fit ends when every domain's total is this close to its target (as a share of all tokens), when a round gains less
-#: than this share of the error, or after so many rounds.
-TOLERANCE, LEAST_GAIN, MOST_ROUNDS = 1e-6, 1e-3, 48
+#: An upper bound of rates for those who want one; by default rates are bounded below only.
+MOST_RATE = math.inf
+#: The fit ends when every domain's total is this close (as a share of all tokens) to its target, or to the best that can be reached
+#: where the target can't.  A round in which the objective falls by no more than this share is at the limit of the arithmetic.
+TOLERANCE, LEAST_GAIN, MOST_ROUNDS = 1e-6, 1e-14, 200
+#: Weight of the distance from even rates beside the totals' errors: it picks among rates that do equally well.
+EVEN = 1e-8
 #: Marks that prose seldom has, and capitals in a row.
 ODD = r"[#$%&*+/<=>@\\^_`{|}~\[\]]|[A-Z]{2}"
-#: Rounds after which the rates so far are written down.
-KEEP = 8
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -124,42 +126,80 @@ class Mix:
     wanted: list[float]
 
 
-def _moved(rate: Column, posterior: Column, step: list[float]) -> Column:
-    """A rate one gradient step further, put back between its bounds."""
-    along = sum((F.get(posterior, F.lit(d)) * F.lit(float(x)) for d, x in enumerate(step)), F.lit(0.0))
-    return F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), rate - along))
+def _rate(even: float, posterior: Column, y: np.ndarray) -> tuple[Column, Column]:
+    """An even rate moved along the domains' multipliers, as it is and put between its bounds."""
+    free = sum((F.get(posterior, F.lit(d)) * F.lit(float(x)) for d, x in enumerate(y)), F.lit(even))
+    rate = F.greatest(F.lit(0.0), free)
+    return free, rate if math.isinf(MOST_RATE) else F.least(F.lit(MOST_RATE), rate)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> Mix:
-    """Rates in [0, MOST_RATE] for (key, n_tokens, posterior) rows whose domain totals meet targets * budget (default: all tokens).
+    """Nonnegative rates for (key, n_tokens, posterior) rows whose domain totals meet targets * budget (default: all tokens).
 
-    The objective is res' M^-1 res with res the domain totals' errors and M = sum of tokens * posterior posterior'.
-    In the metric of the documents' tokens its gradient is posterior' M^-1 res and its curvature at most 1, so full steps converge.
+    The objective is res' M^-1 res with res the domain totals' errors and M = sum of tokens * posterior posterior', and EVEN
+    times the rates' distance from an even one.  Its dual has one multiplier for each domain, y: rates are even + posterior' y cut
+    off at 0, and y is where res + EVEN * M y = 0.  That is the slope of a convex, piecewise quadratic function, so Newton
+    steps, shortened where they overshoot, end at it.
     """
     n = len(domains)
     p = [F.get("posterior", F.lit(d)) for d in range(n)]
     t = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(t).alias("t"), *(F.sum(t * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(n) for j in range(i, n))).first()
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    first = members.agg(F.sum(t).alias("t"), *(F.sum(t * p[i] * p[j]).alias(f"m_{i}_{j}") for i, j in pairs)).first()
     total = float(first["t"] or 0.0)
     if not n or not total:
         return Mix(members.withColumn("rate", F.lit(1.0)), [], [])
-    m = np.array([[first[f"m_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    square = lambda row: np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    m = square(first)
     budget = total if budget is None else budget
     wanted = np.array([targets.get(d, 0.0) * budget for d in domains])
-    now, last = members.withColumn("rate", F.lit(min(budget / total, MOST_RATE))), None
-    for i in range(1, MOST_ROUNDS + 1):
-        sums = now.agg(*(F.sum(t * F.col("rate") * p[d]).alias(f"s_{d}") for d in range(n))).first()
-        reached = np.array([float(sums[f"s_{d}"]) for d in range(n)])
-        miss = reached - wanted
-        error = float(miss @ inverse @ miss)
-        if np.abs(miss).max() <= TOLERANCE * budget or (last is not None and last - error <= LEAST_GAIN * last):
+    even = min(budget / total, MOST_RATE)
+
+    def energy(free: Column, rate: Column) -> Column:
+        return F.sum(t * rate * (free - rate / 2))
+
+    def value(y: np.ndarray, e: float, weight: float) -> float:
+        return e - float(wanted @ y) + weight / 2 * float(y @ m @ y)
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        free, rate = _rate(even, F.col("posterior"), y)
+        inner = F.when((free > 0) & (free < F.lit(MOST_RATE)), t).otherwise(0.0)
+        row = members.agg(energy(free, rate).alias("e"), *(F.sum(t * rate * p[d]).alias(f"s_{d}") for d in range(n)), *(F.sum(inner * p[i] * p[j]).alias(f"m_{i}_{j}") for i, j in pairs)).first()
+        return float(row["e"]), np.array([row[f"s_{d}"] for d in range(n)]), square(row)
+
+    def shorter(y: np.ndarray, step: np.ndarray, weight: float) -> int:
+        """Which of many lengths of a step is best, in one pass."""
+        tried = [y + step * 0.5**k for k in range(1, 25)]
+        row = members.agg(*(energy(*_rate(even, F.col("posterior"), x)).alias(f"e_{k}") for k, x in enumerate(tried))).first()
+        return min(((value(x, row[f"e_{k}"], weight), k) for k, x in enumerate(tried)))[1]
+
+    y, rounds = np.zeros(n), 0
+    e, reached, inner = at(y)
+    # the even rates' weight falls step by step, so that every fit begins near its end
+    for weight in (1e-2, 1e-4, 1e-6, EVEN):
+        while rounds < MOST_ROUNDS:
+            slope = reached - wanted + weight * (m @ y)
+            if np.abs(slope).max() <= TOLERANCE / 10 * budget:
+                break
+            rounds += 1
+            step = -np.linalg.pinv(inner + weight * m, rcond=1e-13, hermitian=True) @ slope
+            before = value(y, e, weight)
+            to = y + step
+            found = at(to)
+            if value(to, found[0], weight) > before + 1e-4 * float(slope @ step):
+                to = y + step * 0.5 ** (shorter(y, step, weight) + 1)
+                found = at(to)
+            gain = before - value(to, found[0], weight)
+            if gain <= 0:
+                break
+            y, (e, reached, inner) = to, found
+            if gain <= LEAST_GAIN * abs(before):
+                break
+        if np.abs(reached - wanted).max() <= TOLERANCE * budget:
             break
-        last = error
-        now = now.withColumn("rate", _moved(F.col("rate"), F.col("posterior"), (inverse @ miss).tolist()))
-        if i % KEEP == 0:
-            now = ex.checkpoint(now)
-    return Mix(now, reached.tolist(), wanted.tolist())
+    if np.abs(reached - wanted).max() > TOLERANCE * budget:
+        logging.getLogger(__name__).warning("domain totals %s for targets %s after %d rounds", dict(zip(domains, reached / budget, strict=True)), dict(zip(domains, wanted / budget, strict=True)), rounds)
+    return Mix(members.withColumn("rate", _rate(even, F.col("posterior"), y)[1]), reached.tolist(), wanted.tolist())
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:

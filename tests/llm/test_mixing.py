@@ -87,3 +87,17 @@ def test_no_labels_and_no_documents(spark, docs, rows, no_docs):
     out = mixing.mixed(docs, none).collect()
     assert len(out) == len(rows) and {(r.rate, r.domain, r.posterior) for r in out} == {(1.0, None, None)}
     assert mixing.mixed(no_docs, none).count() == 0
+
+
+def test_totals_are_met_wherever_rates_can_meet_them(spark):
+    """At production parameters: rates far above any cap, a hot domain, and a mix that first-order steps creep to."""
+    rng = np.random.default_rng(8)
+    names = ["q0t0", "q0t1", "q1t0", "q1t1"]
+    hot = np.where(np.arange(4000)[:, None] % 20 == 0, rng.dirichlet([0.02, 0.02, 2, 0.05], 4000), rng.dirichlet([4, 0.3, 0.05, 0.05], 4000))
+    for p in (hot, rng.dirichlet([0.05, 0.02, 3, 0.03], 4000), rng.dirichlet([0.5, 0.5, 0.5, 0.5], 4000)):
+        t = rng.integers(1, 400, len(p))
+        rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "n_tokens long, posterior array<double>")
+        mix = mixing.fit_rates(rows, names, mixing.TARGETS)
+        rate = np.array([r.rate for r in mix.rates.collect()])
+        want = np.array([mixing.TARGETS[d] for d in names]) * t.sum()
+        assert (rate >= 0).all() and np.abs((rate * t) @ p - want).max() < 1e-5 * t.sum()
