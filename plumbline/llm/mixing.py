@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import logging
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from plumbline.llm import exchange as ex
 from plumbline.llm.labelled import bounded_sample
 
-#: Labelled documents that the classifier is fitted on at most, words that it knows, and documents a word must be in.
+#: Labelled documents that the classifier is fitted on at most, and documents a word must be in.
 TRAINING_DOCUMENTS = 10_000
-VOCABULARY = 256
 LEAST_DOCUMENTS = 5
 #: How many times as frequent a known word is in some domain as in all documents, at least.
 LEAST_LIFT = 2.5
+#: Known words that are broadcast at most; more are joined with a shuffle.
+BROADCAST_WORDS = 100_000
 #: Share of each domain (q: quality, t: toxicity, as labelled) in the mix; domains not named get none.
 TARGETS = {"q1t0": 0.90, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
 #: An upper bound of rates for those who want one; by default rates are bounded below only.
@@ -44,8 +45,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
-    """(*keep, words, n_tokens, shapes): what stands between ASCII white space, case and marks included, how many that are, and
-    marks of the text's make-up: how odd its characters are and how often it repeats itself."""
+    """(*keep, words, n_tokens, shapes): the distinct strings between ASCII white space, case and marks included, how many there
+    are with repeats, and marks of the text's make-up: how odd its characters are and how often it repeats itself."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spaced = F.col("__text")
     for c in "\t\n\x0b\x0c\r":
@@ -54,13 +55,13 @@ def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
     df = once(docs.select(*keep, text.alias("__text")), "words", F.array_remove(F.split(F.replace(spaced, F.lit("  "), F.lit(" ")), " "), ""))
     df = df.withColumn("n_tokens", F.size("words").cast("long"))
     n = F.greatest(F.size("words"), F.lit(1)).cast("double")
-    df = once(once(df, "__odd", F.regexp_count("__text", F.lit(ODD)) / n), "__distinct", F.size(F.array_distinct("words")) / n)
-    odd, distinct = F.col("__odd"), F.col("__distinct")
+    df = once(once(df, "__odd", F.regexp_count("__text", F.lit(ODD)) / n), "__distinct", F.array_distinct("words"))
+    odd, distinct = F.col("__odd"), F.size("__distinct") / n
     shapes = F.array(
         F.when(odd > 1, " odd 1").when(odd > 0.3, " odd 0.3").when(odd > 0.1, " odd 0.1"),
         F.when(distinct < 0.1, " distinct 0.1").when(distinct < 0.3, " distinct 0.3").when((distinct < 0.5) & (n > 20), " distinct 0.5"),
     )
-    return df.withColumn("shapes", F.array_compact(shapes)).drop("__text", "__odd", "__distinct")
+    return df.select(*(c for c in df.columns if c not in ("words", "__text", "__odd", "__distinct")), F.col("__distinct").alias("words"), F.array_compact(shapes).alias("shapes"))
 
 
 @dataclass
@@ -68,27 +69,34 @@ class Classifier:
     domains: list[str]
     #: Log likelihood of each domain and of the absence of all known words in it.
     log_prior: list[float]
-    #: word -> what its presence adds in each domain.
-    words: dict[str, list[float]]
-
-    def with_posterior(self, df: DataFrame) -> DataFrame:
-        """df of with_words() with posterior, an array<double> over the domains, from the distinct known words and the shapes."""
-        if not self.domains:
-            return df.withColumn("posterior", F.array().cast("array<double>"))
-        total = F.array(*(F.lit(x) for x in self.log_prior))
-        if self.words:
-            # one literal for all words: names and weights are arrays, looked up by place
-            names, n = sorted(self.words), len(self.domains)
-            flat = F.array(*(F.lit(x) for w in names for x in self.words[w]))
-            vocabulary = F.array(*(F.lit(w) for w in names))
-            df = once(df, "__known", F.concat(F.array_intersect("words", vocabulary), F.array_intersect("shapes", vocabulary)))
-            places = F.transform("__known", lambda w: (F.array_position(vocabulary, w) - 1) * n)
-            total = F.aggregate(places, total, lambda s, p: F.transform(s, lambda x, d: x + F.get(flat, (p + d).cast("int"))))
-        df = once(df, "__log", total)
-        df = once(df, "__top", F.array_max("__log"))
+    #: (word, w_0, w_1, ...): what a word's presence adds in each domain; written down.
+    table: DataFrame | None = field(default=None, repr=False)
+    n_words: int = 0
+
+    @property
+    def words(self) -> dict[str, list[float]]:
+        """The table as a dictionary: for looking at it."""
+        return {r[0]: list(r[1:]) for r in self.table.toLocalIterator()} if self.n_words else {}
+
+    def posteriors(self, docs: DataFrame, key: Column) -> DataFrame:
+        """(key, n_tokens, posterior) of every row of docs: an array<double> over the domains, from the distinct known words and the shapes."""
+        n = len(self.domains)
+        words = with_words(docs, key.alias("key"), F.monotonically_increasing_id().alias("__row"))
+        if not n:
+            return words.select("key", "n_tokens", F.array().cast("array<double>").alias("posterior"))
+        if self.n_words:
+            # no word is empty: the prior stands for that, so a row without known words has a match too
+            prior = self.table.sparkSession.createDataFrame([("", *self.log_prior)], self.table.schema)
+            known = self.table.unionByName(prior)
+            each = words.select("key", "__row", "n_tokens", F.explode(F.concat("words", "shapes", F.array(F.lit("")))).alias("word"))
+            df = each.join(F.broadcast(known) if self.n_words <= BROADCAST_WORDS else known, "word")
+            df = df.groupBy("key", "__row", "n_tokens").agg(*(F.sum(f"w_{d}").alias(f"w_{d}") for d in range(n))).withColumn("__log", F.array(*(f"w_{d}" for d in range(n))))
+        else:
+            df = words.withColumn("__log", F.array(*(F.lit(x) for x in self.log_prior)))
+        df = once(df.select("key", "n_tokens", "__log"), "__top", F.array_max("__log"))
         df = once(df, "__scaled", F.transform("__log", lambda x: F.exp(x - F.col("__top"))))
         df = once(df, "__sum", F.aggregate("__scaled", F.lit(0.0), lambda a, b: a + b))
-        return df.withColumn("posterior", F.transform("__scaled", lambda x: x / F.col("__sum"))).drop("__known", "__log", "__top", "__scaled", "__sum")
+        return df.select("key", "n_tokens", F.transform("__scaled", lambda x: x / F.col("__sum")).alias("posterior"))
 
 
 def domain_of_labels(labels: DataFrame) -> DataFrame:
@@ -98,24 +106,23 @@ def domain_of_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, domains: DataFrame) -> Classifier:
-    """From at most TRAINING_DOCUMENTS of (doc_id, domain): smoothed presence of the most telling words in each domain."""
+    """From at most TRAINING_DOCUMENTS of (doc_id, domain): smoothed presence in each domain of all words that tell something."""
     chosen = F.broadcast(bounded_sample(domains, TRAINING_DOCUMENTS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    sample = with_words(texts, F.col("domain")).select("domain", F.concat(F.array_distinct("words"), "shapes").alias("words"))
+    sample = with_words(texts, F.col("domain")).select("domain", F.concat("words", "shapes").alias("words"))
     sizes = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     names, total = list(sizes), sum(sizes.values())
     if not names:
-        return Classifier([], [], {})
+        return Classifier([], [])
     seen = sample.select("domain", F.explode("words").alias("word")).filter("word <> ''")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(names)))
-    # how far the word's domains are from all documents' domains, in all its documents: the likelihood ratio statistic
-    gain = sum(F.when(F.col(f"n_{i}") > 0, F.col(f"n_{i}") * F.log(F.col(f"n_{i}") * F.lit(float(total)) / (F.col("n") * F.lit(float(sizes[d]))))).otherwise(0.0) for i, d in enumerate(names))
     lift = F.greatest(*(F.col(f"n_{i}") * F.lit(total / sizes[d]) / F.col("n") for i, d in enumerate(names)), F.lit(0.0))
-    best = counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()
-    there = {r["word"]: [(r[f"n_{i}"] + 0.2) / (sizes[d] + 0.4) for i, d in enumerate(names)] for r in best}
-    weights = {w: [float(np.log(x / (1 - x))) for x in v] for w, v in there.items()}
-    absent = [sum(float(np.log1p(-v[i])) for v in there.values()) for i in range(len(names))]
-    return Classifier(names, [float(np.log(sizes[d] / total)) + absent[i] for i, d in enumerate(names)], weights)
+    there = [(F.col(f"n_{i}") + 0.2) / F.lit(sizes[d] + 0.4) for i, d in enumerate(names)]
+    weights = [F.log(x / (1 - x)).alias(f"w_{i}") for i, x in enumerate(there)]
+    table = ex.checkpoint(counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)).select("word", *weights))
+    # log(1 - there), for the absence of a word, is -log(1 + exp(weight))
+    sums = table.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(-F.log1p(F.exp(f"w_{i}"))), F.lit(0.0)).alias(f"absent_{i}") for i in range(len(names)))).first()
+    return Classifier(names, [float(np.log(sizes[d] / total)) + sums[f"absent_{i}"] for i, d in enumerate(names)], table, sums["n"])
 
 
 @dataclass
@@ -211,8 +218,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     docs = docs.drop("n_tokens", "domain", "posterior", "rate")
     classifier = fit_classifier(docs, domain_of_labels(labels))
-    words = with_words(docs, F.xxhash64("doc_id", "text").alias("key"))
-    members = ex.checkpoint(classifier.with_posterior(words).select("key", "n_tokens", "posterior"))
+    members = ex.checkpoint(classifier.posteriors(docs, F.xxhash64("doc_id", "text")))
     mix = fit_rates(members, classifier.domains, TARGETS if targets is None else targets, budget)
     top = F.array_max("posterior")
     names = F.array(*(F.lit(d) for d in classifier.domains)).cast("array<string>")

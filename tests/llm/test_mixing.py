@@ -101,3 +101,18 @@ def test_totals_are_met_wherever_rates_can_meet_them(spark):
         rate = np.array([r.rate for r in mix.rates.collect()])
         want = np.array([mixing.TARGETS[d] for d in names]) * t.sum()
         assert (rate >= 0).all() and np.abs((rate * t) @ p - want).max() < 1e-5 * t.sum()
+
+
+def test_all_telling_words_are_known(spark):
+    """Each domain has far more words of its own than any short list; a document with one of them is recognised by it."""
+    rows = [(i, f"both own{i // 5}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 5 % 2, i // 10 % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    c = mixing.fit_classifier(docs, mixing.domain_of_labels(labels))
+    assert set(c.words) == {f"own{k}" for k in range(600)}
+    # the same words in the same document twice: rows count each
+    got = c.posteriors(docs.union(docs), mixing.F.col("doc_id")).collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        assert c.domains[r.posterior.index(max(r.posterior))] == f"q{r.key // 5 % 2}t{r.key // 10 % 2}"
+        assert r.posterior == pytest.approx(posterior(c, f"both own{r.key // 5}")) if r.key % 500 == 0 else True
