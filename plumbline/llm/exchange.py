@@ -11,32 +11,39 @@ that is in a third of all rows from filling one block.
 from __future__ import annotations
 
 import gc
+import math
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textcore as tc
 
 PACKED = "block int, kind int, payload binary"
 PACKED_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-#: Text bytes whose records meet in one block.
-BLOCK_BYTES = 12 << 20
-#: Rows in a batch for Python.
-BATCH_ROWS = 1_000
-#: Text bytes that a map task gathers before it sends records.
-FLUSH_BYTES = 8 << 20
+#: Text bytes whose records meet in one block, at least and at most: in between they grow with the square root of the input,
+#: and so does what a map task gathers before it sends records, so a packed row holds several records at any size.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 12 << 20, 96 << 20
+FLUSH_BYTES, MOST_FLUSH_BYTES = 8 << 20, 64 << 20
+#: Rows and bytes in a batch for Python.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+#: Edges that one task of components() holds at once (16 bytes each).
+TASK_EDGES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share."""
+    """The folder that all executors share: the session's, or on one machine, where none is set, one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return context.getCheckpointDir()
 
 
@@ -58,23 +65,44 @@ def let_go(spark: SparkSession) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after limiting the rows that its session hands to Python at once: ten thousand texts, Spark's default, take much memory."""
+    """df, after limiting the rows and bytes that its session hands to Python at once: ten thousand texts, Spark's default, take
+    much memory.  The limits are session settings, as plans read them when they run; ones that are lower already stay."""
     conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(name, str(most))).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return df
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column name that is not among names."""
+    while name.lower() in {n.lower() for n in names}:
+        name = f"_{name}"
+    return name
+
+
+def row_key() -> Column:
+    """A hash of a document's id and text.  Rows are told apart by (doc_id, row_key): the hash alone would not do for
+    a table of many billions."""
+    return F.xxhash64("doc_id", "text")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, text) of documents: rows equal in id and text share a key, and so a result."""
-    return small_batches(docs).select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
 
+def block_count(docs: DataFrame) -> int:
+    """Blocks for an exchange: by the text, and at least the session's shuffle partitions."""
+    total = int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+    size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, 10 * math.isqrt(total)))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // size + 1)
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for an exchange: in proportion to the text, and at least the session's shuffle partitions."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // block_bytes + 1)
+
+def flush_bytes(blocks: int) -> int:
+    """Text bytes that a map task gathers for so many blocks."""
+    return min(MOST_FLUSH_BYTES, max(FLUSH_BYTES, 64 * blocks))
 
 
 def pack(blocks: np.ndarray, kind: int, records: np.ndarray) -> pa.RecordBatch | None:
@@ -119,13 +147,15 @@ def unpack_runs(table: pa.Table, run: np.dtype, item: np.dtype) -> tuple[np.ndar
     return np.concatenate(runs), np.concatenate(items)
 
 
-def map_flushed(per_chunk: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int, int], object], flush: Callable[[list], list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function: works on chunks of whole documents and flushes what they gave.
+def map_flushed(per_chunk: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int, int], object], flush: Callable[[list], list], blocks: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function: works on chunks of whole documents and flushes what they gave, for so many blocks.
 
     per_chunk(batch, data, offsets, first, last) handles documents first..last of a batch, whose text bytes are data;
     flush(parts) makes record batches of what some chunks gave.
     """
 
+    most = flush_bytes(blocks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -134,7 +164,7 @@ def map_flushed(per_chunk: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int
                 own = offsets[first : last + 1]
                 parts.append(per_chunk(batch, data[own[0] : own[-1]], own - own[0], first, last))
                 held += int(own[-1] - own[0]) + 1
-                if held >= FLUSH_BYTES:
+                if held >= most:
                     yield from (x for x in flush(parts) if x is not None)
                     parts, held = [], 0
         if parts:
@@ -165,29 +195,74 @@ def bitmap(df: DataFrame, column: str, rows: int | None = None, most: int = 27)
     at = (F.col(column).bitwiseAND(F.lit((1 << log2) - 1)) + 1).alias("at")
     made = df.select(at).groupBy(F.expr("bitmap_bucket_number(at)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("m"))
     bits = np.zeros(1 << (log2 - 3), dtype=np.uint8)
-    for row in made.toLocalIterator():
+    for row in made.collect():  # 2**most bits at most
         part = np.frombuffer(bytes(row["m"]), dtype=np.uint8)[: len(bits)]
         bits[(row["b"] - 1) * 4096 : (row["b"] - 1) * 4096 + len(part)] = part
     return Bitmap(bits, log2)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of all nodes of the undirected edges (a, b); a root is the smallest node that can be reached."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(x):
+        px, py = parent[x], parent[y]
+        apart = px != py
+        x, y, px, py = x[apart], y[apart], px[apart], py[apart]
+        np.minimum.at(parent, np.maximum(px, py), np.minimum(px, py))
+        up = parent[parent]
+        while (up != parent).any():
+            parent, up = up, up[up]
+    return nodes, nodes[parent]
+
+
+def contracted(roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function: of each TASK_EDGES edges a star for each component; with roots, an edge of each root to itself too."""
+
+    def settle(held: list) -> pa.RecordBatch:
+        node, root = forest(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("a", "b")))
+        if not roots:
+            node, root = node[node != root], root[node != root]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > TASK_EDGES:
+                yield settle(held)
+                held, n = [], 0
+        if n:
+            yield settle(held)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the undirected edges (a, b): root is the component's smallest node.
+    """(node, root) of every node of the undirected edges (a, b): root is the component's smallest node.  Nodes should be hashes.
 
-    Alternating large and small stars on aggregates and joins; no neighbour list is ever collected, so a node
-    with any number of neighbours is fine.  Every round is checkpointed.
+    Every task contracts the edges it has to stars.  A node that is the centre of no task's star is settled by the smallest
+    of its centres, which it ties together; what is left are edges between centres, many fewer, and they are contracted
+    again, until what is left fits into one task.  No neighbour list is ever collected: a node has one centre for
+    each task at most.
     """
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = checkpoint(large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct())
-        same = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (now, after)]
-        if same[0] == same[1]:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        now = after
+    now, settled = checkpoint(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")), []
+    n = now.count()
+    while n > TASK_EDGES:
+        stars = now.coalesce(n // TASK_EDGES + 1).mapInArrow(contracted(False), "a long, b long")
+        seen = stars.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("root")))).alias("s")).select("s.*")
+        seen = checkpoint(seen.groupBy("node").agg(F.min("root").alias("m"), F.collect_set("root").alias("roots"), F.max(F.col("root").isNull()).alias("centre")).filter("m IS NOT NULL"))
+        settled.append(seen.filter("NOT centre").select("node", "m"))
+        left = seen.select(F.explode("roots").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(seen.filter("centre").select(F.col("node").alias("a"), F.col("m").alias("b")))
+        now = checkpoint(left)
+        n = now.count()
+    found = checkpoint(now.coalesce(1).mapInArrow(contracted(True), "a long, b long").toDF("node", "root"))
+    for level in reversed(settled):
+        up = checkpoint(level.join(found.withColumnRenamed("node", "m"), "m", "left").select("node", "m", "root"))
+        found = found.unionByName(up.select("node", F.coalesce("root", "m").alias("root"))).unionByName(up.filter("root IS NULL").select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
+    return found
 
 
 def read_docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -8,13 +8,18 @@ bounds that the set sizes imply are never formed:
    its shared shingles.  A link needs ``100 * overlap >= percent * union >= percent * own size``, so a set whose
    count of shared shingles is lower can have no link and leaves.
 3. Of the sets that stay, shingles are ordered by rarity; a linked pair has a shingle of both prefixes
-   (size - ceil(percent * size / 100) + 1 long) in common.  Each such shingle ties its sets to one hub, and the ties'
-   components are the row groups.  Links never cross row groups.
-4. In each row group, in row blocks of bounded size (each pair of blocks is a task), overlap counts are accumulated
-   through the column lists, pairs below ``percent / (100 + percent) * (size + size)`` are discarded, and links between
-   rows that are already connected are not looked for again; no list of pairs is emitted, only spanning links.
-
-Every step is exact; hashes are 64 bits wide.
+   (size - ceil(percent * size / 100) + 1 long) in common.  Such shingles tie sets together, and the ties' components are
+   the row groups.  Links never cross row groups.
+4. In each row group overlap counts are accumulated through the column lists, pairs below
+   ``percent / (100 + percent) * (size + size)`` are discarded, and links between rows that are already connected are not
+   looked for again; no list of pairs is emitted, only spanning links.
+5. A row group beyond ROW_BLOCK is cut into row blocks by size class (linked sets are in the same or in neighbouring
+   classes) and within a class by hash.  Each block is multiplied with itself; what that links is one part from then on.
+   Rows outside of their group's largest part are then multiplied, block by block, with all rows of other parts in the
+   same and the neighbouring classes.  Rows of the largest part never meet again, so a large group of near copies, which
+   its blocks link almost whole, costs its own size and not the square of it.
+
+Every step is exact but for hashes: sets, shingles and rows are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import exchange as ex
 from plumbline.llm import textcore as tc
 
-#: Sets that meet in one task of the product; larger row groups are split into pairs of blocks.
+#: Sets that meet in one task of the product; larger row groups are cut into blocks.
 ROW_BLOCK = 1500
+#: Larger row groups up to which tables of them (a row for each size class at most) are broadcast; beyond, they are joined with a shuffle.
+BROADCAST_GROUPS = 1_000
 SHARED = np.dtype([("sig", "<i8"), ("n", "<i4")])
 #: A set's shingles in a block: how many, then 32 bits of each.
 SEEN = np.dtype([("sig", "<i8"), ("n", "<i4")])
@@ -135,14 +142,14 @@ def _shared_counts(docs: DataFrame, sets_of: SetsOf, blocks: int) -> DataFrame:
         n = np.bincount(inverse, weights=told["n"], minlength=len(own)).astype(np.int64)
         return pa.table({"sig": pa.array(own, pa.int64()), "shared": pa.array(n, pa.int64())})
 
-    sent = docs.mapInArrow(ex.map_flushed(per_chunk, flush), ex.PACKED)
+    sent = docs.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), ex.PACKED)
     return sent.groupBy("block").applyInArrow(at_block, ex.PACKED).groupBy("block").applyInArrow(total, "sig long, shared long")
 
 
 def _sets_of(docs: DataFrame, sets_of: SetsOf, wanted: DataFrame) -> DataFrame:
     """(sig, n, h array) of the wanted (row_key, sig, n): a bitmap of their keys picks rows in the scan, a join settles it."""
     chosen = docs.sparkSession.sparkContext.broadcast(ex.bitmap(wanted, "row_key"))
-    out = pa.schema([("row_key", pa.int64()), ("h", pa.list_(pa.int64()))])
+    out = pa.schema([("sig", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -150,14 +157,22 @@ def _sets_of(docs: DataFrame, sets_of: SetsOf, wanted: DataFrame) -> DataFrame:
             data, offsets = tc.buffers(batch.column("text"))
             for first, last in tc.chunks(offsets):
                 own = offsets[first : last + 1]
-                hashes, cuts, _ = _sets(sets_of, data[own[0] : own[-1]], own - own[0])
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))], schema=out)
+                hashes, cuts, sig = _sets(sets_of, data[own[0] : own[-1]], own - own[0])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))], schema=out)
+
+    found = docs.mapInArrow(run, "sig long, h array<long>")
+    return found.join(wanted.select("sig", "n"), "sig").dropDuplicates(["sig"]).select("sig", "n", "h")
+
+
+TIE = np.dtype([("a", "<i8"), ("b", "<i8")])
 
-    return docs.mapInArrow(run, "row_key long, h array<long>").join(wanted, "row_key").dropDuplicates(["sig"]).select("sig", "n", "h")
 
+def _ties(sets: DataFrame, percent: int, blocks: int, length_partitions: bool) -> DataFrame:
+    """(a, b): edges that tie all sets together that have a shingle of both necessary prefixes in common.
 
-def _prefixes(sets: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """(sig, h) of the necessary prefix of every set: its rarest shingles, without those no other set has."""
+    A prefix has the rarest shingles of a set, without those no other set has.  A task ties the sets it has itself, and
+    says of each shingle only which of its parts has it: a shingle of a million sets comes once from each task.
+    """
     tokens = sets.select("sig", "n", F.explode("h").alias("h"))
     rarity = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     known = tokens.join(rarity, "h").withColumn("block", F.pmod("sig", F.lit(blocks)))
@@ -171,9 +186,33 @@ def _prefixes(sets: DataFrame, percent: int, blocks: int) -> DataFrame:
         place = np.arange(len(sig)) - np.repeat(head, size)
         alone = n - np.repeat(size, size)  # shingles of this set only come first in the order
         keep = place + alone < n + (-percent * n) // 100 + 1
-        return pa.table({"sig": sig[keep], "h": h[keep]})
+        sig, n, h = sig[keep], n[keep], h[keep]
+        if length_partitions:
+            part = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+            h = np.concatenate([tc.mix64(h.view(np.uint64) ^ tc.mix64(part + np.uint64(i + 1))) for i in (0, 1)]).view(np.int64)
+            sig = np.append(sig, sig)
+        if not len(sig):
+            return pa.Table.from_batches([], schema=ex.PACKED_ARROW)
+        order = np.argsort(h, kind="stable")
+        sig, h = sig[order], h[order]
+        head = np.append(True, h[1:] != h[:-1])
+        hub = sig[head][np.cumsum(head) - 1]
+        node, root = ex.forest(sig, hub)
+        star, has = np.zeros(int((node != root).sum()), TIE), np.zeros(int(head.sum()), TIE)
+        star["a"], star["b"] = node[node != root], root[node != root]
+        has["a"], has["b"] = h[head], root[np.searchsorted(node, sig[head])]
+        made = [ex.pack((x["a"] % blocks).astype(np.int32), kind, x) for kind, x in ((0, star), (1, has))]
+        return pa.Table.from_batches([m for m in made if m is not None], schema=ex.PACKED_ARROW)
+
+    def tie(table: pa.Table) -> pa.Table:
+        star, has = (ex.unpack(table, kind, TIE) for kind in (0, 1))
+        has = has[np.argsort(has["a"], kind="stable")]
+        head = np.append(True, has["a"][1:] != has["a"][:-1]) if len(has) else np.zeros(0, bool)
+        hub = has["b"][head][np.cumsum(head) - 1]
+        node, root = ex.forest(np.append(star["a"], has["b"]), np.append(star["b"], hub))
+        return pa.table({"a": node[node != root], "b": root[node != root]})
 
-    return known.groupBy("block").applyInArrow(choose, "sig long, h long")
+    return known.groupBy("block").applyInArrow(choose, ex.PACKED).groupBy("block").applyInArrow(tie, "a long, b long")
 
 
 def spanning_links(sig: np.ndarray, group: np.ndarray, cuts: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,23 +270,87 @@ def spanning_links(sig: np.ndarray, group: np.ndarray, cuts: np.ndarray, tokens:
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _links(sets: DataFrame, groups: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """(a, b): spanning links between signatures; groups has (node, root)."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    parts = F.ceil(F.col("members") / ROW_BLOCK).cast("int")
-    placed = groups.join(sizes, "root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # a group of one part shares a task with other small groups; a larger one has a task for each pair of its parts
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(4 * blocks))).otherwise(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.col("node").alias("sig"), "root", task.alias("task"))
+def crossing_links(sig: np.ndarray, side: np.ndarray, label: np.ndarray, cuts: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as places) that connect what all links between rows of side 0 and of side 1 (without any: of side 0) with
+    different labels connect, when rows with the same label are connected already."""
+    size = np.diff(cuts)
+    _, column = np.unique(tokens, return_inverse=True)
+    row = np.repeat(np.arange(len(sig)), size)
+    to = 1 if (side == 1).any() else 0
+    met = side[row] == to
+    order = np.argsort(column[met], kind="stable")
+    rows, at = row[met][order], np.searchsorted(column[met][order], np.arange(column.max(initial=-1) + 2))
+    _, label = np.unique(label, return_inverse=True)
+    a, b = [], []
+    for x in np.flatnonzero(side == 0).tolist():
+        own = column[cuts[x] : cuts[x + 1]]
+        low, length = at[own], at[own + 1] - at[own]
+        seen = rows[np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        seen = seen[label[seen] != label[x]]
+        if not len(seen):
+            continue
+        found, overlap = np.unique(seen, return_counts=True)
+        found = found[100 * overlap >= percent * (size[x] + size[found] - overlap)]
+        for other in np.unique(label[found]).tolist():
+            a.append(x)
+            b.append(int(found[label[found] == other][0]))
+        label[np.isin(label, label[found])] = label[x]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = table.column("h").combine_chunks()
+    return table.column("sig").to_numpy(), np.append(0, np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64), h.flatten().to_numpy()
+
+
+def _linked(sets: DataFrame, groups: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """(node, root) of the components of all links; groups has (node, root) of the row groups."""
+    # by size class, so a group's sets beyond ROW_BLOCK are counted class by class
+    size_class = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    large = ex.checkpoint(groups.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > ROW_BLOCK).select("root"))
+    n_large = large.count()
+    some_large, small = n_large > 0, F.broadcast if n_large <= BROADCAST_GROUPS else lambda df: df
+    rows = groups.select(F.col("node").alias("sig"), "root")
+    whole = rows.join(small(large), "root", "left_anti") if some_large else rows
+    dealt = whole.select("sig", "root", F.pmod(F.xxhash64("root"), F.lit(4 * blocks)).alias("task"))
+    if some_large:
+        rows = ex.checkpoint(rows.join(small(large), "root", "left_semi").join(sets.select("sig", "n"), "sig").select("sig", "root", size_class.alias("class")))
+        parts = rows.groupBy("root", "class").agg(F.ceil(F.count("*") / ROW_BLOCK).alias("parts"))
+        cut = rows.join(small(parts), ["root", "class"])
+        dealt = dealt.unionByName(cut.select("sig", "root", F.xxhash64("root", "class", F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("task")))
 
     def product(table: pa.Table) -> pa.Table:
-        h = table.column("h").combine_chunks()
-        sig, root = table.column("sig").to_numpy(), table.column("root").to_numpy()
-        cuts = np.append(0, np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False)))
-        a, b = spanning_links(sig, root, cuts, h.flatten().to_numpy(), percent)
+        sig, cuts, tokens = _matrix(table)
+        a, b = spanning_links(sig, table.column("root").to_numpy(), cuts, tokens, percent)
+        return pa.table({"a": sig[a], "b": sig[b]})
+
+    inner = ex.components(dealt.join(sets, "sig").groupBy("task").applyInArrow(product, "a long, b long"))
+    if not some_large:
+        return inner
+    named = rows.join(inner.select(F.col("node").alias("sig"), F.col("root").alias("part")), "sig", "left").withColumn("part", F.coalesce("part", "sig"))
+    largest = named.groupBy("root", "part").agg(F.count("*").alias("k")).groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
+    named = ex.checkpoint(named.join(small(largest), "root").select("sig", "root", "class", "part", (F.col("part") != F.col("largest")).cast("int").alias("minor")))
+    units = named.groupBy("root", "class", "minor").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("units"))
+    each = ex.checkpoint(units.withColumn("unit", F.explode(F.expr("sequence(0, units - 1)"))))
+    u = each.filter("minor = 1").select("root", F.col("class").alias("u_class"), F.col("unit").alias("u"))
+    v = each.select("root", "class", "minor", "unit")
+    near = (F.abs(F.col("class") - F.col("u_class")) <= 1) & ((F.col("minor") == 0) | (F.struct("class", "unit") >= F.struct(F.col("u_class").alias("class"), F.col("u").alias("unit"))))
+    pairs = u.join(small(v), "root").filter(near).withColumn("task", F.xxhash64("root", "u_class", "u", "class", "minor", "unit"))
+    if not pairs.take(1):
+        return inner
+    sides = F.array(F.struct(F.col("u_class").alias("class"), F.lit(1).alias("minor"), F.col("u").alias("unit"), F.lit(0).alias("side")), F.struct("class", "minor", "unit", F.lit(1).alias("side")))
+    same = (F.col("minor") == 1) & (F.col("class") == F.col("u_class")) & (F.col("unit") == F.col("u"))
+    asked = pairs.select("root", "task", F.explode(F.when(same, F.slice(sides, 1, 1)).otherwise(sides)).alias("s")).select("root", "task", "s.*")
+    placed = named.join(small(units), ["root", "class", "minor"]).withColumn("unit", F.pmod(F.xxhash64("sig"), F.col("units")).cast("int")).drop("units")
+    met = placed.join(asked, ["root", "class", "minor", "unit"]).select("sig", "part", "side", "task")
+
+    def crossing(table: pa.Table) -> pa.Table:
+        sig, cuts, tokens = _matrix(table)
+        a, b = crossing_links(sig, table.column("side").to_numpy(), table.column("part").to_numpy(), cuts, tokens, percent)
         return pa.table({"a": sig[a], "b": sig[b]})
 
-    return dealt.join(sets, "sig").groupBy("task").applyInArrow(product, "a long, b long")
+    outer = met.join(sets, "sig").groupBy("task").applyInArrow(crossing, "a long, b long")
+    return ex.components(outer.unionByName(inner.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -276,16 +379,9 @@ def components_of(docs: DataFrame, sets_of: SetsOf, percent: int, length_partiti
     enough = ex.checkpoint(classes.join(_shared_counts(rows, sets_of, blocks), "sig").filter(f"100 * shared >= {percent} * n").select("row_key", "sig", "n"))
     ex.let_go(docs.sparkSession)
     sets = ex.checkpoint(_sets_of(rows, sets_of, enough))
-    prefixes = _prefixes(sets, percent, blocks)
-    if length_partitions:
-        own = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-        part = sets.select("sig", F.explode(F.array(own, own + 1)).alias("part"))
-        prefixes = prefixes.join(part, "sig").select("sig", F.xxhash64("h", "part").alias("h"))
-    prefixes = ex.checkpoint(prefixes)
+    groups = ex.components(_ties(sets, percent, blocks, length_partitions))
     ex.let_go(docs.sparkSession)
-    hubs = prefixes.groupBy("h").agg(F.min("sig").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("h", "hub")
-    groups = ex.components(prefixes.join(hubs, "h").filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")))
-    found = ex.components(_links(sets, groups, percent, blocks))
+    found = _linked(sets, groups, percent, blocks)
     named = found.join(classes.select(F.col("sig").alias("node"), "least_id", "rows"), "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("rows").alias("members"))
     names = named.select("node", "root").join(names, "root").select(F.col("node").alias("sig"), "component_id", "members", F.col("root").alias("component_key"))
