@@ -4,7 +4,9 @@ Every line is good or bad.  A line's score uses features of its own and of the l
 chain has weights for each pair of neighbouring labels.  Forward-backward gives each line's marginal of being good;
 a document's quality is the mean of these, weighted by line length, put on a probability scale by a logistic curve.
 
-Lines learn from the label of their document: what good documents have in common with bad ones is not held against it.
+The labels of lines are hidden; what is known is the document's.  All lines of a good document are good, and of a bad
+one at least one is bad.  Training climbs the likelihood of just that, P(all good) for good documents and 1 - P(all
+good) for bad ones, so a bad document may have good lines, and how good and bad lines follow each other is learned.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from plumbline.llm import exchange as ex
 from plumbline.llm import labelled
 from plumbline.llm import textcore as tc
 
-#: Labelled documents that the model is fitted on at most, and lines that one of them has at most.
+#: Labelled documents that the model is fitted on at most, and lines that it learns from one of them: of a longer document
+#: a run of neighbouring lines, which begins where a hash of the id says.
 TRAINING_DOCUMENTS = 6_000
-TRAINING_LINES = 300
-ROUNDS = 150
+TRAINING_LINES = 40
+ROUNDS = 300
 UPPER, DIGIT = tc.byte_class(bytes(range(65, 91))), tc.byte_class(bytes(range(48, 58)))
 STOP = tc.byte_class(b".,;:!?'\"()-")
 LETTER = tc.byte_class(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
@@ -100,8 +103,9 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
     return Lines(np.concatenate([own, before, after, edge], axis=1), length, first)
 
 
-def marginals(score: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability that each line is good, and the expected counts of neighbouring labels.
+def forward_backward(score: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Probability that each line is good; the lines that stand behind another, and the probabilities of the labels of both
+    (of the one before, of the line's own); the log of the sum over all labellings of each document.
 
     score is the log potential of good against bad; pair[i, j] that of label j behind label i.  All documents step
     together, the longest first, so a step costs one small array operation.
@@ -126,15 +130,34 @@ def marginals(score: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[n
         beta[at, 1] = np.logaddexp(pair[1, 0] + bad, pair[1, 1] + good)
     both = alpha + beta
     good = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+    has = np.diff(first) > 0
+    total = np.zeros(len(first) - 1)
+    total[has] = np.logaddexp(*both[first[:-1][has]].T)
     inner = np.ones(len(score), dtype=bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
+    inner[first[:-1][has]] = False
     at = np.flatnonzero(inner)
-    total = np.logaddexp(both[at, 0], both[at, 1])
-    counts = np.zeros((2, 2))
+    own = np.repeat(total, np.diff(first))[at]
+    joint = np.zeros((len(at), 2, 2))
     for i in (0, 1):
         for j in (0, 1):
-            counts[i, j] = np.exp(alpha[at - 1, i] + pair[i, j] + beta[at, j] + (score[at] if j else 0) - total).sum()
-    return good, counts
+            joint[:, i, j] = np.exp(alpha[at - 1, i] + pair[i, j] + beta[at, j] + (score[at] if j else 0) - own)
+    return good, at, joint, total
+
+
+def likelihood(score: np.ndarray, pair: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of documents' labels y, and its slopes by score and by pair."""
+    good, at, joint, total = forward_backward(score, pair, first)
+    n = np.diff(first)
+    of = np.repeat(np.arange(len(n)), n)
+    all_good = np.minimum(np.bincount(of, weights=score, minlength=len(n)) + np.maximum(n - 1, 0) * pair[1, 1] - total, -1e-12)
+    p = np.exp(all_good)
+    # for a good document what is observed less what is expected; for a bad one the same, under the condition that not all are good
+    odds = np.where(y == 1, 1.0, -p / -np.expm1(all_good))
+    by_score = odds[of] * (1 - good)
+    by_pair = -(odds[of[at]][:, None, None] * joint).sum(axis=0)
+    by_pair[1, 1] += odds[of[at]].sum()
+    value = np.where(y == 1, all_good, np.log(-np.expm1(all_good)))[n > 0].sum()
+    return float(value), by_score, by_pair
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -161,7 +184,7 @@ class Model:
 
     def quality(self, lines: Lines) -> np.ndarray:
         """Length-weighted mean of the lines' marginals of being good; NaN without lines."""
-        good, _ = marginals(lines.features @ self.weights, self.pair, lines.first)
+        good, *_ = forward_backward(lines.features @ self.weights, self.pair, lines.first)
         sums = np.append(0, np.cumsum(np.stack([good * lines.length, lines.length], axis=1), axis=0).reshape(-1, 2)[:, 0]), np.append(0, np.cumsum(lines.length))
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.diff(sums[0][lines.first]) / np.diff(sums[1][lines.first])
@@ -172,6 +195,21 @@ class Model:
         return np.where(np.isnan(quality), self.prior, 1 / (1 + np.exp(-(x @ self.curve))))
 
 
+def trained(lines: Lines, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features and of pairs of labels: steps of adaptive length up the likelihood, which is damped a little."""
+    width = lines.features.shape[1]
+    w, pair = np.zeros(width), np.zeros((2, 2))
+    m = [np.zeros(width + 4), np.zeros(width + 4)]
+    n = max(len(y), 1)
+    for i in range(1, ROUNDS + 1):
+        _, by_score, by_pair = likelihood(lines.features @ w, pair, lines.first, y)
+        slope = np.append(lines.features.T @ by_score / n - 1e-3 * w, (by_pair / n - 1e-3 * pair).ravel())
+        m[0], m[1] = 0.9 * m[0] + 0.1 * slope, 0.99 * m[1] + 0.01 * slope**2
+        step = 0.1 * (m[0] / (1 - 0.9**i)) / (np.sqrt(m[1] / (1 - 0.99**i)) + 1e-8)
+        w, pair = w + step[:width], pair + step[width:].reshape(2, 2)
+    return w, pair
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     """A model from at most TRAINING_DOCUMENTS labelled documents of the folds that may be learned from."""
     chosen = F.broadcast(labelled.bounded_sample(labelled.training_labels(labels, column), TRAINING_DOCUMENTS))
@@ -184,8 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
             for first, last in tc.chunks(offsets):
                 own = offsets[first : last + 1]
                 lines = lines_of(data[own[0] : own[-1]], own - own[0])
-                ok = [d for d in range(last - first) if lines.first[d + 1] - lines.first[d] <= TRAINING_LINES]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first).take(pa.array(ok, pa.int64())), batch.column("label").slice(first, last - first).take(pa.array(ok, pa.int64())), pa.array([lines.features[lines.first[d] : lines.first[d + 1]].tobytes() for d in ok], pa.binary()), pa.array([lines.length[lines.first[d] : lines.first[d + 1]].tobytes() for d in ok], pa.binary())], names=["doc_id", "label", "features", "length"])
+                ids = batch.column("doc_id").slice(first, last - first)
+                spare = np.maximum(np.diff(lines.first) - TRAINING_LINES, 0)
+                begin = lines.first[:-1] + (tc.mix64(ids.to_numpy().view(np.uint64)) % (spare + 1).astype(np.uint64)).astype(np.int64)
+                runs = list(zip(begin.tolist(), np.minimum(begin + TRAINING_LINES, lines.first[1:]).tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([ids, batch.column("label").slice(first, last - first), pa.array([lines.features[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([lines.length[a:b].tobytes() for a, b in runs], pa.binary())], names=["doc_id", "label", "features", "length"])
 
     got = sample.mapInArrow(run, "doc_id long, label int, features binary, length binary").toArrow().sort_by([("doc_id", "ascending")])
     y = got.column("label").to_numpy().astype(float) if got.num_rows else np.zeros(0)
@@ -196,17 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     features = [np.frombuffer(x, np.float32).reshape(-1, width) for x in got.column("features").to_pylist()]
     length = [np.frombuffer(x, np.int64) for x in got.column("length").to_pylist()]
     lines = Lines(np.concatenate(features).astype(np.float64), np.concatenate(length), np.append(0, np.cumsum([len(x) for x in length])))
-    of = np.repeat(y, np.diff(lines.first))
-    pairs = np.array([[(1 - y) @ np.maximum(np.diff(lines.first) - 1, 0), 0], [0, y @ np.maximum(np.diff(lines.first) - 1, 0)]])
-    w, pair = np.zeros(width), np.zeros((2, 2))
-    m = [np.zeros(width + 4), np.zeros(width + 4)]
-    n = max(len(of), 1)
-    for i in range(1, ROUNDS + 1):
-        good, counts = marginals(lines.features @ w, pair, lines.first)
-        slope = np.append((lines.features.T @ (of - good)) / n - 1e-4 * w, ((pairs - counts) / n - 1e-3 * pair).ravel())
-        m[0], m[1] = 0.9 * m[0] + 0.1 * slope, 0.99 * m[1] + 0.01 * slope**2
-        step = 0.1 * (m[0] / (1 - 0.9**i)) / (np.sqrt(m[1] / (1 - 0.99**i)) + 1e-8)
-        w, pair = w + step[:width], pair + step[width:].reshape(2, 2)
+    w, pair = trained(lines, y)
     model = Model(w, pair, plain.curve, prior)
     quality = model.quality(lines)
     known = ~np.isnan(quality)
