@@ -82,6 +82,21 @@ def unused(names: list[str], name: str) -> str:
     return name
 
 
+def sheltered(df: DataFrame, inner: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with those of its columns renamed that have a name of inner ones, and how to name them back."""
+    clash = {n.lower() for n in inner}
+    new = {}
+    for n in df.columns:
+        if n.lower() in clash:
+            new[n] = unused([*df.columns, *inner, *new.values()], n)
+    return df.withColumnsRenamed(new), {b: a for a, b in new.items()}
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for all that use it; a plain column would be computed again in every use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def row_key() -> Column:
     """A hash of a document's id and text.  Rows are told apart by (doc_id, row_key): the hash alone would not do for
     a table of many billions."""

@@ -16,7 +16,7 @@ from plumbline.llm import exchange as ex
 from plumbline.llm import spans
 from plumbline.llm import textcore as tc
 
-LAST = np.iinfo(np.int64).max
+LAST = spans.LAST
 #: A chunk on its way; body is null where it is settled already that it goes.
 CHUNK = pa.schema([("block", pa.int32()), ("h", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("body", pa.binary())])
 
@@ -74,7 +74,7 @@ def _repeats(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray,
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(row_key, spans) to remove from keyed rows."""
+    """(doc_id, row_key, spans) to remove from keyed rows."""
     blocks = ex.block_count(rows)
 
     def per_chunk(batch, data, offsets, first, last):  # noqa: ANN001, ANN202
@@ -108,9 +108,9 @@ def removals(rows: DataFrame) -> DataFrame:
         bodies = table.column("body")
         _, go = _repeats(h[open_], doc[open_], key[open_], start[open_], lambda i: bodies[int(open_[i])].as_py())
         gone = np.concatenate([open_[go], np.flatnonzero(settled)])
-        return spans.answers(key[gone], start[gone], end[gone])
+        return spans.answers(doc[gone], key[gone], start[gone], end[gone])
 
-    sent = rows.mapInArrow(ex.map_flushed(per_chunk, flush), "block int, h long, doc long, key long, start int, end int, body binary")
+    sent = rows.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), "block int, h long, doc long, key long, start int, end int, body binary")
     return spans.merged(sent.groupBy("block").applyInArrow(at_block, spans.ANSWER))
 
 

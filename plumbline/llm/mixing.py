@@ -39,11 +39,6 @@ EVEN = 1e-8
 ODD = r"[#$%&*+/<=>@\\^_`{|}~\[\]]|[A-Z]{2}"
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once for all that use it; a plain column would be computed again in every use."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
     """(*keep, words, n_tokens, shapes): the distinct strings between ASCII white space, case and marks included, how many there
     are with repeats, and marks of the text's make-up: how odd its characters are and how often it repeats itself."""
@@ -52,10 +47,10 @@ def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
     for c in "\t\n\x0b\x0c\r":
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     # no regular expression here: a split at one plain character is several times as fast
-    df = once(docs.select(*keep, text.alias("__text")), "words", F.array_remove(F.split(F.replace(spaced, F.lit("  "), F.lit(" ")), " "), ""))
+    df = ex.once(docs.select(*keep, text.alias("__text")), "words", F.array_remove(F.split(F.replace(spaced, F.lit("  "), F.lit(" ")), " "), ""))
     df = df.withColumn("n_tokens", F.size("words").cast("long"))
     n = F.greatest(F.size("words"), F.lit(1)).cast("double")
-    df = once(once(df, "__odd", F.regexp_count("__text", F.lit(ODD)) / n), "__distinct", F.array_distinct("words"))
+    df = ex.once(ex.once(df, "__odd", F.regexp_count("__text", F.lit(ODD)) / n), "__distinct", F.array_distinct("words"))
     odd, distinct = F.col("__odd"), F.size("__distinct") / n
     shapes = F.array(
         F.when(odd > 1, " odd 1").when(odd > 0.3, " odd 0.3").when(odd > 0.1, " odd 0.1"),
@@ -93,9 +88,9 @@ class Classifier:
             df = df.groupBy("key", "__row", "n_tokens").agg(*(F.sum(f"w_{d}").alias(f"w_{d}") for d in range(n))).withColumn("__log", F.array(*(f"w_{d}" for d in range(n))))
         else:
             df = words.withColumn("__log", F.array(*(F.lit(x) for x in self.log_prior)))
-        df = once(df.select("key", "n_tokens", "__log"), "__top", F.array_max("__log"))
-        df = once(df, "__scaled", F.transform("__log", lambda x: F.exp(x - F.col("__top"))))
-        df = once(df, "__sum", F.aggregate("__scaled", F.lit(0.0), lambda a, b: a + b))
+        df = ex.once(df.select("key", "n_tokens", "__log"), "__top", F.array_max("__log"))
+        df = ex.once(df, "__scaled", F.transform("__log", lambda x: F.exp(x - F.col("__top"))))
+        df = ex.once(df, "__sum", F.aggregate("__scaled", F.lit(0.0), lambda a, b: a + b))
         return df.select("key", "n_tokens", F.transform("__scaled", lambda x: x / F.col("__sum")).alias("posterior"))
 
 

@@ -12,21 +12,23 @@ from pyspark.sql import types as T
 from plumbline.llm import exchange as ex
 
 #: What a block answers: removed spans of some rows as (start << 32 | end), in code points.
-ANSWER = "row_key long, spans array<long>"
+ANSWER = "doc_id long, row_key long, spans array<long>"
+#: Stands for a null id, behind all others.
+LAST = np.iinfo(np.int64).max
 
 
-def answers(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
-    """One row for each key with its spans."""
-    order = np.lexsort((starts, keys))
-    keys, packed = keys[order], (starts[order].astype(np.int64) << 32) | ends[order].astype(np.int64)
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+def answers(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """One row for each document with its spans."""
+    order = np.lexsort((ends, starts, docs, keys))
+    docs, keys, packed = docs[order], keys[order], (starts[order].astype(np.int64) << 32) | ends[order].astype(np.int64)
+    head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
     cuts = np.append(head, len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
-    return pa.table({"row_key": pa.array(keys[head], pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(packed, pa.int64()))})
+    return pa.table({"doc_id": pa.array(docs[head], pa.int64(), mask=docs[head] == LAST), "row_key": pa.array(keys[head], pa.int64()), "spans": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(packed, pa.int64()))})
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """(row_key, spans) with all spans of a row, ascending."""
-    return found.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    """(doc_id, row_key, spans) with all spans of a row, ascending."""
+    return found.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def kept(text: str, spans: list[int]) -> str:
@@ -42,9 +44,12 @@ def kept(text: str, spans: list[int]) -> str:
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs, all columns, with removed spans cut out of text, and two columns more: removed_spans (null: none) and
-    removed_chars.  found is (row_key, spans) of rows keyed by xxhash64(doc_id, text)."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    both = ex.small_batches(docs).withColumn("__row_key", key).join(found.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("removed_spans")).hint("shuffle_hash"), "__row_key", "left").drop("__row_key")
+    removed_chars; columns of these names are replaced.  found is (doc_id, row_key, spans) of keyed rows."""
+    docs = ex.small_batches(docs.drop("removed_spans", "removed_chars"))
+    names = docs.columns
+    key, doc = (ex.unused(names, n) for n in ("row_key", "doc_id"))
+    found = found.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("spans").alias("removed_spans")).hint("shuffle_hash")
+    both = docs.join(found, (ex.row_key() == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").select(*(F.col(f"`{n}`") for n in names), "removed_spans")
     schema = T.StructType([*both.schema.fields, T.StructField("removed_chars", T.LongType())])
 
     def run(batches):  # noqa: ANN001, ANN202

@@ -45,19 +45,24 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 #: Odd multipliers, one for each place of a word in a shingle.
 PLACE = _stream(1 << 30, 64) | U64(1)
-_powers = {"n": 0}
+#: Of a second, independent hash.
+_OTHER_BASE = int(_stream(13, 1)[0]) | 1
+_OTHER_BYTE = _stream(1 << 21, 256)
+_OTHER_BYTE[65:91] = _OTHER_BYTE[97:123]
+_powers: dict[int, np.ndarray] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 1 << 16)
+def _power(base: int, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), U64(base), dtype=U64)
+        steps[0] = U64(1)
         with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                steps = np.full(size, U64(base), dtype=U64)
-                steps[0] = U64(1)
-                _powers[name] = np.cumprod(steps, dtype=U64)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+            _powers[base] = np.cumprod(steps, dtype=U64)
+    return _powers[base]
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power(_BASE, n), _power(_BASE_INV, n)
 
 
 def byte_class(chars: bytes) -> np.ndarray:
@@ -121,6 +126,15 @@ class Words:
             np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=sums[1:])
             self.hashes = mix64((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
 
+    def second_hashes(self) -> np.ndarray:
+        """Hashes of the words, A-Z lower-cased, that say nothing of the first ones."""
+        n = len(self.data)
+        up, down = _power(_OTHER_BASE, n + 1), _power(pow(_OTHER_BASE, -1, 1 << 64), n + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum(_OTHER_BYTE[self.data] * up[:n], out=sums[1:])
+            return mix64((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
