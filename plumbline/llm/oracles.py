@@ -38,6 +38,8 @@ _QUOTE = r"^([ \t>]*>)[ \t]?"
 _ATTRIBUTION = r"(?i)^\s*(on .{4,200} wrote|am .{4,200} schrieb.{0,100}|le .{4,200} a écrit|el .{4,200} escribió)\s*:\s*$"
 _NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
+_ORDER = "CASE WHEN {0} < 0 THEN '-' || lpad(CAST(CAST({0} AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') ELSE lpad(CAST({0} AS VARCHAR), 20, '0') END"
+
 #: For messages that their four columns tell apart.
 QUOTE_LINKS = rf"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS row, conv_id, turn, role, text, coalesce(regexp_matches(text, '(?m)^[ \t]*>'), FALSE) AS quoted FROM conversations),
@@ -46,10 +48,18 @@ lines AS (SELECT row, i, length(regexp_replace(regexp_extract(line, '{_QUOTE}',
 own AS (SELECT row, i, line FROM (SELECT *, coalesce(lead(level) OVER (PARTITION BY row ORDER BY i), 0) AS next FROM lines) AS n WHERE level = 0 AND NOT (regexp_matches(line, '{_ATTRIBUTION}') AND next > 0)),
 cut AS (SELECT row, rtrim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s*\n', ''), ' ' || chr(9) || chr(10)) AS body FROM own GROUP BY row),
 bodies AS (SELECT m.*, CASE WHEN quoted THEN coalesce(body, '') ELSE coalesce(text, '') END AS body FROM m LEFT JOIN cut USING (row)),
-quotes AS (SELECT row, conv_id, turn, level, {_NORMAL.format("line")} AS q FROM lines JOIN m USING (row) WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL AND {_NORMAL.format("line")} <> ''),
-originals AS (SELECT conv_id, q, min(turn) AS o FROM (SELECT conv_id, turn, {_NORMAL.format("line")} AS q FROM (SELECT conv_id, turn, unnest(string_split(body, chr(10))) AS line FROM bodies WHERE conv_id IS NOT NULL AND turn IS NOT NULL) AS l) AS n GROUP BY conv_id, q),
-met AS (SELECT row, quotes.conv_id, turn, level, quotes.q, CASE WHEN o < turn THEN o END AS parent FROM quotes LEFT JOIN originals ON quotes.conv_id = originals.conv_id AND quotes.q = originals.q),
-votes AS (SELECT row, conv_id, turn, parent, min(level) AS level, sum(length(q)) AS chars, count(*) AS n FROM met GROUP BY row, conv_id, turn, parent),
+runs AS (SELECT row, i, level, {_NORMAL.format("line")} AS q, i - row_number() OVER (PARTITION BY row, level ORDER BY i) AS run FROM lines JOIN m USING (row) WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+quotes AS (SELECT * FROM runs WHERE q <> ''),
+passages AS (SELECT row, level, run, string_agg(q, ' ' ORDER BY i) AS q, sum(length(q)) AS chars, count(*) AS n FROM quotes GROUP BY row, level, run),
+known AS (SELECT conv_id, turn, body FROM bodies WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+wholes AS (SELECT conv_id, turn, {_NORMAL.format("part")} AS q FROM (SELECT conv_id, turn, body AS part FROM known UNION ALL SELECT conv_id, turn, unnest(string_split_regex(body, '\n[ \t]*\n')) FROM known) AS w),
+own_lines AS (SELECT conv_id, turn, {_NORMAL.format("line")} AS q FROM (SELECT conv_id, turn, unnest(string_split(body, chr(10))) AS line FROM known) AS l),
+first_wholes AS (SELECT conv_id, q, min(turn) AS o FROM wholes GROUP BY conv_id, q),
+first_lines AS (SELECT conv_id, q, min(turn) AS o FROM own_lines GROUP BY conv_id, q),
+linked AS (SELECT p.*, m.conv_id, m.turn, CASE WHEN o < m.turn THEN o END AS parent FROM passages p JOIN m USING (row) LEFT JOIN first_wholes f ON m.conv_id = f.conv_id AND p.q = f.q),
+met AS (SELECT row, conv_id, turn, level, parent, chars, n FROM linked WHERE parent IS NOT NULL UNION ALL
+  SELECT l.row, l.conv_id, l.turn, l.level, CASE WHEN o < l.turn THEN o END, length(x.q), 1 FROM linked l JOIN quotes x ON l.row = x.row AND l.level = x.level AND l.run = x.run LEFT JOIN first_lines f ON l.conv_id = f.conv_id AND x.q = f.q WHERE l.parent IS NULL),
+votes AS (SELECT row, conv_id, turn, parent, min(level) AS level, sum(chars) AS chars, sum(n) AS n FROM met GROUP BY row, conv_id, turn, parent),
 found AS (SELECT row, conv_id, turn, arg_max(parent, {{'a': -level, 'b': chars, 'c': parent}}) FILTER (WHERE parent IS NOT NULL) AS parent_turn, sum(n) AS quoted_lines, coalesce(sum(n) FILTER (WHERE parent IS NOT NULL), 0) AS linked_lines FROM votes GROUP BY row, conv_id, turn),
 up AS (SELECT conv_id, turn, min(parent_turn) AS parent FROM found WHERE parent_turn IS NOT NULL GROUP BY conv_id, turn),
 chain(conv_id, turn, root, depth) AS (SELECT conv_id, turn, parent, 1 FROM up UNION ALL SELECT chain.conv_id, chain.turn, up.parent, depth + 1 FROM chain JOIN up ON up.conv_id = chain.conv_id AND up.turn = root),
@@ -57,7 +67,7 @@ threads AS (SELECT conv_id, turn, min(root) AS thread_turn, max(depth) AS depth
 placed AS (SELECT b.*, parent_turn, quoted_lines, linked_lines, CASE WHEN parent_turn IS NULL THEN b.turn ELSE thread_turn END AS thread_turn, CASE WHEN parent_turn IS NULL THEN 0 ELSE depth END AS depth
   FROM bodies b LEFT JOIN found USING (row) LEFT JOIN threads ON threads.conv_id = b.conv_id AND threads.turn = b.turn)
 SELECT conv_id, turn, role, body, CAST(coalesce(quoted_lines, 0) AS BIGINT) AS quoted_lines, CAST(coalesce(linked_lines, 0) AS BIGINT) AS linked_lines, parent_turn, thread_turn, CAST(depth AS INTEGER) AS depth,
-  concat_ws('/', lpad(CAST(thread_turn AS VARCHAR), 20, '0'), lpad(CAST(turn AS VARCHAR), 20, '0')) AS reply_order, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) || '<|end|>' AS chat
+  concat_ws('/', {_ORDER.format("thread_turn")}, {_ORDER.format("turn")}) AS reply_order, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) || '<|end|>' AS chat
 FROM placed
 """
 

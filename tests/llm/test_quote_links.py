@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -28,6 +29,8 @@ def made(seed=3):
             texts.append(text)
             rows.append((conv, turn, rnd.choice(["user", "assistant"]), text))
     rows += [(50, 0, None, "> quotes what nobody said\nyes"), (50, 1, "user", None), (50, 2, "user", ""), (None, 3, "user", "> a\nb"), (51, None, "user", "> a\nb"), rows[5], rows[5], (52, 0, "user", "same"), (52, 0, "assistant", "same"), (52, 1, "user", ">same\nno"), (53, 0, "user", ">>> deep\n>> less\n> one\nown"), (54, 2, "user", "x"), (54, 1, "user", "> x\nlater is no original"), (55, 0, "user", "> " * 3000 + "z")]
+    # whole passages, paragraphs and rewrapped lines; a negative turn comes first
+    rows += [(60, -3, "user", "ok"), (60, 0, "user", "One thing.\n\nAnother thing\nin two lines.\n"), (60, 1, "assistant", "yes\nok\nno"), (60, 2, "user", "> yes\n> ok\n> no\nquoted whole"), (60, 3, "user", "> another\n> thing in two\n> lines.\nrewrapped"), (60, 4, "user", "> ok\nshort"), (60, 5, "user", "> ok\n> nobody said this\npartly"), (60, 6, "user", ">> ok\n> One thing.\nnested")]
     return rows
 
 
@@ -53,19 +56,27 @@ def brute(rows):
     for conv, turn, _, text in rows:
         if conv is None or turn is None:
             continue
-        for t in body(text).split("\n"):
-            if norm(t):
-                first[conv, norm(t)] = min(first.get((conv, norm(t)), turn), turn)
+        own = body(text)
+        for kind, units in (("line", own.split("\n")), ("whole", [own, *re.split(r"\n[ \t]*\n", own)])):
+            for t in units:
+                if norm(t):
+                    first[conv, kind, norm(t)] = min(first.get((conv, kind, norm(t)), turn), turn)
     parent, stats = {}, {}
     for row in set(rows):
         conv, turn, _, text = row
-        quotes = [(lv, norm(t)) for lv, t in lines(text) if lv and norm(t)] if conv is not None and turn is not None else []
-        votes = {}
-        for lv, q in quotes:
-            o = first.get((conv, q))
-            if o is not None and o < turn:
-                level, chars, n = votes.get(o, (99, 0, 0))
-                votes[o] = (min(level, lv), chars + len(q), n + 1)
+        passages = []
+        for lv, group in itertools.groupby(lines(text), key=lambda x: x[0]):
+            own = [norm(t) for _, t in group if norm(t)]
+            if lv and own and conv is not None and turn is not None:
+                passages.append((lv, own))
+        quotes, votes = [q for _, own in passages for q in own], {}
+        for lv, own in passages:
+            o = first.get((conv, "whole", " ".join(own)))
+            found = [(o, q) for q in own] if o is not None and o < turn else [(first.get((conv, "line", q)), q) for q in own]
+            for o, q in found:
+                if o is not None and o < turn:
+                    level, chars, n = votes.get(o, (9999, 0, 0))
+                    votes[o] = (min(level, lv), chars + len(q), n + 1)
         best = max(votes, key=lambda o: (-votes[o][0], votes[o][1], o)) if votes else None
         stats[row] = (best, len(quotes), sum(v[2] for v in votes.values()))
         if best is not None:
@@ -106,10 +117,10 @@ def test_reply_order_equals_brute_force(spark, rows):
 def test_plan_is_native_and_extra_columns_stay(spark, rows):
     from pyspark.sql import functions as F
 
-    df = quote_links.reply_ordered(spark.createDataFrame(rows, SCHEMA).withColumn("h", F.lit("clash")))
+    df = quote_links.reply_ordered(spark.createDataFrame(rows, SCHEMA).withColumn("h", F.lit("clash")).withColumn("__key", F.lit(5)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    assert {r.h for r in df.collect()} == {"clash"}
+    assert {(r.h, r["__key"]) for r in df.collect()} == {("clash", 5)}
 
 
 def test_empty_table(spark):
