@@ -34,10 +34,12 @@ sus también un una y ya
 CHAIN = 2
 #: Rows whose texts one sorted run of neighbours has, about, and runs that a task has.
 RUN_ROWS, TASK_RUNS = 1_000, 4
-#: Most runs; with more rows than RUN_ROWS times this, runs become longer.
+#: Most runs, but for those that one id with very many rows is cut into; with more rows than RUN_ROWS times this, runs become longer.
 MOST_RUNS = 1 << 17
 #: A null id comes behind all others.
 LOWEST = -(1 << 63)
+#: Kinds of rows in a run: what is noted of its documents, the documents, and the one behind them.
+NOTE, OWN, BORDER = range(3)
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -122,43 +124,66 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return jaccard_join.components_of(docs, signatures, percent, length_partitions=True)
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """Rows in runs of descending doc_id: (run, border, doc_id, row_key, text), each run ending with a border row, which is
-    the first row of the next run (after the last run: of the first)."""
-    rows = ex.keyed(docs).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("at"))
+def _dealt(bounds: np.ndarray, shares: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of each row's run, in the order of runs: descending by id, ascending by hash within an id.
+
+    Run i ends with the id bounds[i].  An id that many bounds fell on, shares[i], has runs of its own, by hash: as many.
+    """
+    first = np.append(0, np.cumsum(np.where(shares > 1, shares, 0) + 1))
+    i = np.searchsorted(bounds, at, side="left")
+    own = np.append(shares, 1)[i]
+    alone = (own > 1) & (np.append(bounds, np.iinfo(np.int64).max)[i] == at)
+    part = ((key.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64) * own >> 32
+    # within run i: the parts of its last id come first, then all smaller ids; runs of larger ids come before
+    place = np.where(alone, part, np.where(own > 1, own, 0))
+    return (first[-1] - first[np.minimum(i + 1, len(first) - 1)] + np.where(i < len(bounds), 1, 0) + place).astype(np.int32)
+
+
+def _neighbours(docs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows in runs of descending doc_id: (run, kind, doc_id, row_key, text, component_id, n_in_component), each run beginning with
+    what notes have of its rows and ending with a border row, which is the first row of the next run (after the last run: of the first)."""
+    at = F.coalesce("doc_id", F.lit(LOWEST)).alias("at")
+    rows = ex.keyed(docs).select("*", at)
+    ids = rows.select("row_key", "at")
     n = ids.count()
+    none = F.lit(None).cast("long")
     if not n:
-        return rows.select(F.lit(0).alias("run"), F.lit(0).alias("border"), "doc_id", "row_key", "text")
+        return rows.select(F.lit(0).alias("run"), F.lit(OWN).alias("kind"), "doc_id", "row_key", "text", none.alias("component_id"), none.alias("n_in_component"))
     runs = min(MOST_RUNS, n // RUN_ROWS + 1)
-    bounds = sorted({int(x) for x in ids.agg(F.percentile_approx("at", [i / runs for i in range(1, runs)], min(100 * runs, 1_000_000)).alias("b")).first()["b"]}) if runs > 1 else []
-    held = docs.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
+    cuts = ids.agg(F.percentile_approx("at", [i / runs for i in range(1, runs)], min(100 * runs, 1_000_000)).alias("b")).first()["b"] if runs > 1 else []
+    bounds, shares = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    held = docs.sparkSession.sparkContext.broadcast((bounds, shares))
 
     def deal(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            run = np.searchsorted(held.value, batch.column("at").to_numpy(), side="left").astype(np.int32)
+            run = _dealt(*held.value, batch.column("at").to_numpy(), batch.column("row_key").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(run), *batch.columns], names=["run", *batch.schema.names])
 
-    tops = [(r["run"], r["top"]) for r in ids.mapInArrow(deal, "run int, at long").groupBy("run").agg(F.max("at").alias("top")).orderBy("run").collect()]
-    before = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}  # the run that ends with this one's first row
-    firsts = docs.sparkSession.createDataFrame([(top, run) for top, run in before.items()], "at long, run int")
-    border = rows.join(F.broadcast(firsts), "at").groupBy("run").agg(F.min_by(F.struct("doc_id", "row_key", "text"), "row_key").alias("r")).select("run", F.lit(1).alias("border"), "r.doc_id", "r.row_key", "r.text", F.lit(LOWEST).alias("at"))
-    dealt = rows.mapInArrow(deal, "run int, row_key long, doc_id long, text string, at long").select("run", F.lit(0).alias("border"), "doc_id", "row_key", "text", "at")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs // TASK_RUNS)
-    return dealt.unionByName(border).repartition(parts, "run").sortWithinPartitions("run", "border", F.desc("at"), "row_key").drop("at")
+    # the first row of each run is the border of the run before it
+    tops = ids.mapInArrow(deal, "run int, row_key long, at long").groupBy("run").agg(F.min(F.struct(F.bitwise_not("at").alias("down"), "row_key")).alias("top")).orderBy("run").collect()
+    firsts = [(~r["top"]["down"], r["top"]["row_key"], tops[i - 1]["run"]) for i, r in enumerate(tops)]
+    firsts = docs.sparkSession.createDataFrame(firsts, "at long, row_key long, run int")
+    border = rows.join(F.broadcast(firsts), ["at", "row_key"]).groupBy("run").agg(F.first(F.struct("doc_id", "row_key", "text")).alias("r"))
+    border = border.select("run", F.lit(BORDER).alias("kind"), "r.doc_id", "r.row_key", "r.text", F.lit(LOWEST).alias("at"), none.alias("component_id"), none.alias("n_in_component"))
+    dealt = rows.mapInArrow(deal, "run int, row_key long, doc_id long, text string, at long").select("run", F.lit(OWN).alias("kind"), "doc_id", "row_key", "text", "at", none.alias("component_id"), none.alias("n_in_component"))
+    noted = notes.select("row_key", "doc_id", at, "component_id", F.col("n_in_component").cast("long").alias("n_in_component"))
+    noted = noted.mapInArrow(deal, "run int, row_key long, doc_id long, at long, component_id long, n_in_component long").select("run", F.lit(NOTE).alias("kind"), "doc_id", "row_key", F.lit(None).cast("string").alias("text"), "at", "component_id", "n_in_component")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(tops) // TASK_RUNS)
+    return noted.unionByName(dealt).unionByName(border).repartition(parts, "run").sortWithinPartitions("run", "kind", F.desc("at"), "row_key").drop("at")
 
 
-EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64()), ("component_id", pa.int64()), ("n_in_component", pa.int64())])
 
 
-def _compared(rows: list[tuple]) -> pa.RecordBatch:
-    """Results of (run, border, doc_id, text) rows that have their next row behind them."""
-    whole = fingerprints([r[3] for r in rows])
-    at = [i for i, r in enumerate(rows[:-1]) if not r[1]]
+def _compared(rows: list[tuple], noted: dict) -> pa.RecordBatch:
+    """Results of (run, kind, doc_id, row_key, text) rows that have their next row behind them."""
+    whole = fingerprints([r[4] for r in rows])
+    at = [i for i, r in enumerate(rows[:-1]) if r[1] == OWN]
     pairs = [(rows[i], rows[i + 1]) for i in at]
-    texts = [a[3] for a, _ in pairs]
-    edited = [a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3] for a, b in pairs]
+    texts = [a[4] for a, _ in pairs]
+    edited = [a[4][: len(a[4]) - len(a[4]) // 3] + b[4][: len(a[4]) // 3] for a, b in pairs]
     own, nexts, others = [whole[i] for i in at], [whole[i + 1] for i in at], fingerprints(edited)
+    told = [noted.get((a[2], a[3]), (a[2], 1)) for a, _ in pairs]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([a[2] for a, _ in pairs], pa.int64()),
@@ -169,30 +194,47 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
             pa.array([likeness(a, b) for a, b in zip(own, others, strict=True)], pa.float64()),
             pa.array([likeness(a, b) for a, b in zip(own, nexts, strict=True)], pa.float64()),
             pa.array([len(a) for a in own], pa.int64()),
+            pa.array([c for c, _ in told], pa.int64()),
+            pa.array([n for _, n in told], pa.int64()),
         ],
         schema=EDITED,
     )
 
 
-def edit_report(docs: DataFrame) -> DataFrame:
-    """For each row its fingerprint, that of its edited text, and how like they and the next row's are.
+def edit_report(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """For each row its fingerprint, that of its edited text, how like they and the next row's are, and the component of
+    rows with near fingerprints it is in: the smallest doc_id, and how many rows.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     row's, in the order of descending doc_id (equal ids by a hash of the text, null ids last; after the last row the
-    first).  A null text is empty; an empty text has an empty fingerprint, and two empty ones are alike.  Extra columns
-    are ignored.  No window spans the table: rows are dealt into runs by id and every run borrows its successor's first row.
+    first).  Components are near_duplicates() of this percent.  A null text is empty; an empty text has an empty
+    fingerprint, two empty ones are alike, and none is in a component with others.  Extra columns are ignored.  No window
+    spans the table: rows are dealt into runs by id, an id with very many rows into runs by hash, and every run borrows
+    its successor's first row.
     """
+    notes = ex.checkpoint(near_duplicates(docs, percent).filter("n_in_component > 1").select("doc_id", "row_key", "component_id", "n_in_component").distinct())
+    ex.let_go(docs.sparkSession)
     step = 64
 
     def run(batches):  # noqa: ANN001, ANN202
         held: list[tuple] = []
+        noted, now = {}, None
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("run", "border", "doc_id")), (t or "" for t in batch.column("text").to_pylist()), strict=True)
-            while len(held) > step:
-                yield _compared(held[: step + 1])
-                held = held[step:]
+            names = ("run", "kind", "doc_id", "row_key", "text", "component_id", "n_in_component")
+            for number, kind, doc, key, text, component, members in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if number != now:
+                    if len(held) > 1:
+                        yield _compared(held, noted)
+                    held, noted, now = [], {}, number
+                if kind == NOTE:
+                    noted[doc, key] = component, members
+                    continue
+                held.append((number, kind, doc, key, text or ""))
+                if len(held) > step:
+                    yield _compared(held, noted)
+                    held = held[step:]
         if len(held) > 1:
-            yield _compared(held)
+            yield _compared(held, noted)
 
-    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
-    return _neighbours(docs).select("run", "border", "doc_id", "text").mapInArrow(run, out)
+    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, component_id long, n_in_component long"
+    return _neighbours(docs, notes).select("run", "kind", "doc_id", "row_key", "text", "component_id", "n_in_component").mapInArrow(run, out)

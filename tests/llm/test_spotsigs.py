@@ -18,8 +18,29 @@ def test_edit_report_equals_brute_force(docs, rows, run_rows, monkeypatch):
         e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         a, b, c = spotsigs.fingerprints([t, e, nxt])
         want[(d, len(t), hashlib.sha256(e.encode()).hexdigest(), *spotsigs.encoded([a, b]), spotsigs.likeness(a, b), spotsigs.likeness(a, c))] += 1
-    got = Counter(tuple(r)[:7] for r in spotsigs.edit_report(docs).collect())
-    assert got == want
+    out = spotsigs.edit_report(docs).collect()
+    assert Counter(tuple(r)[:7] for r in out) == want
+    near = Counter((r.doc_id, r.component_id, r.n_in_component) for r in spotsigs.near_duplicates(docs).collect())
+    assert Counter((r.doc_id, r.component_id, r.n_in_component) for r in out) == near
+
+
+def test_one_id_with_many_rows_is_cut_into_runs(spark, monkeypatch):
+    """A null id, and one id, with a third of all rows each: no run has many more rows than others, and the order holds."""
+    import numpy as np
+
+    monkeypatch.setattr(spotsigs, "RUN_ROWS", 50)
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 77, f"the row {i} is about a thing number {i} in this text") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = {(r.doc_id, r.text): r.row_key for r in ex.keyed(df).collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], -keys[r]), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        want[d, hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in spotsigs.edit_report(df).collect()) == want
+    none = spark.createDataFrame([], "doc_id long, row_key long, component_id long, n_in_component long")
+    sizes = [r["count"] for r in spotsigs._neighbours(df, none).filter(f"kind = {spotsigs.OWN}").groupBy("run").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 4 * np.mean(sizes)
 
 
 def test_signatures_are_anchor_chains():
