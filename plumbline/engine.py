@@ -48,11 +48,15 @@ class Engine:
     def translate(self, text: str, first_of_group: bool = False) -> tuple[str, list[str]]:
         """Spark SQL text, and the helper columns at the end that a caller drops."""
         made = Translator(lru_cache(maxsize=None)(self._types), self._columns, first_of_group)
-        return made.statement(text), made.hidden
+        spark_text = made.statement(text)
+        if made.unknown:
+            self.spark.sql(spark_text)  # what is wrong with the statement itself is said first
+            raise DialectError(f"can't tell the type of {made.unknown[0]}; name its table or cast it")
+        return spark_text, made.hidden
 
     def sql(self, text: str) -> DataFrame:
-        spark_text, hidden = self.translate(text)
         try:
+            spark_text, hidden = self.translate(text)
             df = self.spark.sql(spark_text)
         except AnalysisException as e:
             if e.getCondition() is None or "SCALAR_SUBQUERY_IS_IN_GROUP_BY" not in e.getCondition():
