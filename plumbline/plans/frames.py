@@ -102,8 +102,8 @@ register(
 )
 register(
     "df_windows",
-    lambda s, d: _t(s, d, "orders").filter("o_orderkey < 4000").select("o_orderkey", window.rank(["o_custkey"], ["-o_totalprice", "o_orderkey"]).alias("r"), F.round(window.running(F.sum("o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), 2).alias("t"), window.whole(F.count("*"), ["o_orderstatus"]).alias("n"), window.rank().alias("one")),
-    "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS t, count(*) OVER (PARTITION BY o_orderstatus) AS n, RANK() OVER () AS one FROM orders WHERE o_orderkey < 4000",
+    lambda s, d: _t(s, d, "orders").select("o_orderkey", window.rank(["o_custkey"], ["-o_totalprice", "o_orderkey"]).alias("r"), F.round(window.running(F.sum("o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), 2).alias("t"), window.whole(F.count("*"), ["o_orderstatus"]).alias("n"), window.rank().alias("one")),
+    "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS t, count(*) OVER (PARTITION BY o_orderstatus) AS n, RANK() OVER () AS one FROM orders",
 )
 register(
     "df_top_n_by_group",

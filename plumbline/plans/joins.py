@@ -20,7 +20,7 @@ q("join_mark", "SELECT count(*) AS n FROM nation WHERE NULLIF(n_nationkey, 7) IN
 q("join_mark_null_seen", "SELECT count(*) AS n FROM nation WHERE (n_nationkey IN (SELECT NULLIF(r_regionkey, 1) FROM region)) IS NULL")
 q("join_mark_value", "SELECT n_nationkey, CASE WHEN n_nationkey IN (SELECT NULLIF(r_regionkey, 1) FROM region) THEN 1 WHEN n_nationkey NOT IN (SELECT r_regionkey FROM region) THEN 2 ELSE 3 END AS m FROM nation")
 q("join_mark_exists", "SELECT count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING') OR o_totalprice > 300000")
-q("join_one_row", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 2) AS d FROM orders WHERE o_orderkey < 1000")
+q("join_one_row", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 2) AS d FROM orders")
 q("join_theta", "SELECT a.n_nationkey AS a, count(b.n_nationkey) AS n FROM nation a LEFT JOIN nation b ON a.n_nationkey < b.n_regionkey GROUP BY a.n_nationkey")
 q("join_theta_inner", "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey = b.s_nationkey")
 q("join_null_equal", "SELECT a.k AS k, count(*) AS n FROM (SELECT NULLIF(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT NULLIF(r_regionkey, 1) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k")

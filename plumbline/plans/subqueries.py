@@ -13,13 +13,13 @@ q("sub_coalesce_mark", "SELECT count(*) AS n FROM nation WHERE COALESCE(n_nation
 q("sub_scalar_everywhere", "SELECT n_regionkey + (SELECT min(r_regionkey) FROM region) AS k, count(*) AS n FROM nation WHERE n_nationkey > (SELECT max(r_regionkey) FROM region) GROUP BY n_regionkey + (SELECT min(r_regionkey) FROM region) HAVING count(*) > (SELECT min(r_regionkey) FROM region)")
 q("sub_scalar_empty", "SELECT n_nationkey, (SELECT r_name FROM region WHERE r_regionkey > 100) AS nothing FROM nation")
 q("sub_exists_uncorrelated", "SELECT count(*) AS n FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 3) AND NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = 30)")
-q("sub_exists_residual", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate > o.o_orderdate AND l.l_quantity <> 10) AND o_orderkey < 2000")
+q("sub_exists_residual", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate > o.o_orderdate AND l.l_quantity <> 10)")
 q("sub_exists_group", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT o_orderstatus FROM orders WHERE o_custkey = c_custkey GROUP BY o_orderstatus HAVING count(*) > 5)")
-q("sub_correlated_scalar", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) AS big FROM orders WHERE o_orderkey < 2000")
+q("sub_correlated_scalar", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) AS big FROM orders")
 q("sub_count_bug", "SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) = 0")
 q("sub_correlated_compare", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.4 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
-q("sub_correlated_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN (SELECT l_linestatus FROM lineitem WHERE l_orderkey = o_orderkey) AND o_orderkey < 3000")
-q("sub_correlated_not_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN (SELECT l_linestatus FROM lineitem WHERE l_orderkey = o_orderkey) AND o_orderkey < 3000")
+q("sub_correlated_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN (SELECT l_linestatus FROM lineitem WHERE l_orderkey = o_orderkey)")
+q("sub_correlated_not_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN (SELECT l_linestatus FROM lineitem WHERE l_orderkey = o_orderkey)")
 q("sub_correlated_order_by", "SELECT n_nationkey, n_name FROM nation ORDER BY (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) DESC, n_nationkey LIMIT 7")
 q("sub_two_values", "SELECT c_custkey FROM customer WHERE (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 3 * (SELECT avg(o_totalprice) FROM orders WHERE o_custkey = c_custkey)")
 q("sub_aggregate_argument", "SELECT CAST(sum((SELECT count(*) FROM orders WHERE o_custkey = c_custkey)) AS BIGINT) AS n FROM customer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.plans.text import sql_query as q
 
-q("win_whole_partition", "SELECT o_orderkey, o_orderstatus, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderstatus), 10) AS share, count(*) OVER (PARTITION BY o_orderstatus) AS n, max(o_totalprice) OVER () AS hi FROM orders WHERE o_orderkey < 4000")
+q("win_whole_partition", "SELECT o_orderkey, o_orderstatus, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderstatus), 10) AS share, count(*) OVER (PARTITION BY o_orderstatus) AS n, max(o_totalprice) OVER () AS hi FROM orders")
 q("win_over_groups", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY l_returnflag) AS BIGINT) AS of FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
 q("win_variance", "SELECT n_nationkey, round(stddev_samp(n_nationkey) OVER (PARTITION BY n_regionkey), 8) AS s, round(avg(n_nationkey) OVER (PARTITION BY n_regionkey), 8) AS a FROM nation")
 q("win_rank", "SELECT s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r, RANK() OVER (ORDER BY NULLIF(s_nationkey, 3) NULLS FIRST, s_suppkey) AS f, RANK() OVER (ORDER BY NULLIF(s_nationkey, 3), s_suppkey) AS l FROM supplier")
