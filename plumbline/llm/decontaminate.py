@@ -19,8 +19,8 @@ from plumbline.llm import textcore as tc
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows (about 200 bytes each) up to which their table is broadcast; beyond, the join is a shuffle with skew splitting.
-BROADCAST_WINDOWS = 50_000
+#: Bytes up to which the table of windows, and that of the items they are from, is broadcast; beyond, the join is a shuffle with skew splitting.
+BROADCAST_BYTES = 16 << 20
 WINDOW_COLUMNS = "item_id string, window_words int, k int, offset int, h long, window_id long, window string"
 CANDIDATE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("place", pa.int32()), ("k", pa.int32()), ("before", pa.int32()), ("h", pa.int64()), ("context", pa.string())])
 
@@ -83,7 +83,7 @@ def _shingle_counts(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> Da
 
 
 def _candidates(rows: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row for each document (h null), and one for each place where a prefix shingle may be."""
+    """A row for each document (of no k: 0), and one for each place where a prefix shingle may be."""
     known = rows.sparkSession.sparkContext.broadcast(ex.bitmap(prefixes.select("h").distinct(), "h"))
     reach = WINDOW - SHINGLE
 
@@ -97,7 +97,8 @@ def _candidates(rows: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataF
                 key, doc = (batch.column(c).slice(first, last - first) for c in ("row_key", "doc_id"))
                 n = last - first
                 none = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays([key, doc, pa.array(words.counts, pa.int64()), none, none, none, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], schema=CANDIDATE)
+                # k and h meet nothing in the join, and deal these rows evenly
+                yield pa.RecordBatch.from_arrays([key, doc, pa.array(words.counts, pa.int64()), none, pa.array(np.zeros(n, np.int32)), none, key, pa.nulls(n, pa.string())], schema=CANDIDATE)
                 lower, of = None, words.doc_of()
                 for k in sizes:
                     h, at = words.shingles(k)
@@ -115,6 +116,12 @@ def _candidates(rows: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataF
     return rows.mapInArrow(run, "row_key long, doc_id long, n_words long, place int, k int, before int, h long, context string")
 
 
+def _small(df: DataFrame, *texts: str) -> bool:
+    """Whether a table of some texts, and a few numbers in each row, has BROADCAST_BYTES at most."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(64))
+    return (df.agg(F.sum(size).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, n_words, n_hit, items, rows) of every distinct document.
 
@@ -130,23 +137,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rarity = _shingle_counts(rows, distinct, sizes)
     rarest = F.min_by(F.struct("offset", "h"), F.struct(F.coalesce("n", F.lit(0)), "h", "offset")).alias("p")
     prefixes = ex.checkpoint(distinct.join(rarity, "h", "left").groupBy("window", "window_words", "k").agg(rarest).select("window", "window_words", "k", "p.offset", "p.h"))
-    owners = windows.select("window", "item_id").distinct().groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
-    small = prefixes.count() <= BROADCAST_WINDOWS
+    owners = windows.select("window", "item_id").filter("item_id IS NOT NULL").distinct()
     found = _candidates(rows, prefixes, sizes).alias("c")
-    w = (F.broadcast(prefixes) if small else prefixes).alias("w")
+    w = (F.broadcast(prefixes) if _small(prefixes, "window") else prefixes).alias("w")
     start = F.col("place") - F.col("offset")
     placed = found.join(w, (F.col("c.h") == F.col("w.h")) & (F.col("c.k") == F.col("w.k")) & (start >= 0) & (start + F.col("window_words") <= F.col("n_words")), "left")
     there = F.array_join(F.expr("slice(split(context, ' '), before - offset + 1, window_words)"), " ")
-    held = placed.select("row_key", "doc_id", "n_words", F.col("c.h").isNull().alias("whole"), F.when(there == F.col("window"), F.col("window")).alias("window"), start.alias("start"), "window_words").filter("whole OR window IS NOT NULL")
-    named = held.join(F.broadcast(owners) if small else owners, "window", "left")
-    by_row = named.groupBy("row_key", "doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum(F.col("whole").cast("long")).alias("rows"),
-        F.collect_set(F.when(F.col("window").isNotNull(), F.struct("start", "window_words"))).alias("places"),
-        F.collect_set("item_ids").alias("ids"),
+    held = placed.select("row_key", "doc_id", "n_words", (F.col("c.k") == 0).alias("whole"), F.when(there == F.col("window"), F.col("window")).alias("window"), start.alias("start"), "window_words").filter("whole OR window IS NOT NULL")
+    by_row = ex.checkpoint(
+        held.groupBy("row_key", "doc_id").agg(
+            F.max("n_words").alias("n_words"),
+            F.sum(F.col("whole").cast("long")).alias("rows"),
+            F.collect_set(F.when(F.col("window").isNotNull(), F.struct("start", "window_words"))).alias("places"),
+            F.collect_set("window").alias("windows"),
+        )
     )
+    # items come as rows, for the few documents with a window: a window that very many items share makes no wide row
+    hit = by_row.filter(F.size("windows") > 0).select(F.col("row_key").alias("key"), F.col("doc_id").alias("id"), F.explode("windows").alias("window"))
+    items = hit.join(F.broadcast(owners) if _small(owners, "window", "item_id") else owners, "window").groupBy("key", "id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = by_row.join(items, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["window_words"] - 1))))
-    return by_row.select("row_key", "doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"), "rows")
+    return named.select("row_key", "doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "rows")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -158,5 +169,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that contain no window of the benchmark."""
-    hit = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("row_key").alias("__row_key"))
-    return docs.withColumn("__row_key", F.xxhash64("doc_id", "text")).join(hit, "__row_key", "left_anti").drop("__row_key")
+    key, doc = (ex.unused(docs.columns, n) for n in ("row_key", "doc_id"))
+    hit = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("row_key").alias(key), F.col("doc_id").alias(doc))
+    return docs.join(hit, (ex.row_key() == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_anti")

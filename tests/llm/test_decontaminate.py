@@ -36,9 +36,9 @@ def items(rows):
     return [*enumerate(cut), (10, cut[0]), (11, "Not in any text, surely not in any of these texts at all"), (12, " ".join(words(passage[0])[40:44])), (13, words(passage[1])[0]), (14, None), (15, ""), (16, "...!"), (17, " ".join(words(passage[2])[:7]))]
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
 def test_report_equals_brute_force(spark, docs, rows, items, broadcast, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter(tuple(r) for r in decontaminate.report(docs, bench).collect())
     want = brute(rows, items)
