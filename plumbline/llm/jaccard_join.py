@@ -393,8 +393,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one row of each component of similar rows: the one with the smallest doc_id (then hash of id
     and text).  Rows that are like no other, those with empty sets included, stay as they are."""
     crowd = ex.checkpoint(similar_components(docs, k, percent).filter("n_in_component > 1 AND n_shingles > 0").select("row_key", "doc_id", "component_key"))
-    first = crowd.groupBy("component_key").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("__row_key")).select("__row_key")
-    each = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
-    others = each.join(crowd.select(F.col("row_key").alias("__row_key")).distinct(), "__row_key", "left_anti")
-    chosen = each.join(first, "__row_key", "left_semi").dropDuplicates(["__row_key"])
-    return others.unionByName(chosen).drop("__row_key")
+    key, doc, stays = (ex.unused(docs.columns, n) for n in ("row_key", "doc_id", "stays"))
+    first = crowd.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("f")).select(F.col("f.row_key").alias("k"), F.col("f.doc_id").alias("d"), F.lit(True).alias("first"))
+    members = crowd.select("row_key", "doc_id").distinct()
+    marked = members.join(first, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select(F.col("row_key").alias(key), F.col("doc_id").alias(doc), F.coalesce("first", F.lit(False)).alias(stays))
+    each = docs.join(marked, (ex.row_key() == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    others, chosen = each.filter(F.col(stays).isNull()), each.filter(F.col(stays)).dropDuplicates([key, doc])
+    return others.unionByName(chosen).drop(key, doc, stays)

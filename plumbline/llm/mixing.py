@@ -213,10 +213,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     docs = docs.drop("n_tokens", "domain", "posterior", "rate")
     classifier = fit_classifier(docs, domain_of_labels(labels))
-    members = ex.checkpoint(classifier.posteriors(docs, F.xxhash64("doc_id", "text")))
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), ex.row_key().alias("h"))
+    members = ex.checkpoint(classifier.posteriors(docs, key))
     mix = fit_rates(members, classifier.domains, TARGETS if targets is None else targets, budget)
     top = F.array_max("posterior")
     names = F.array(*(F.lit(d) for d in classifier.domains)).cast("array<string>")
     rated = mix.rates.select(F.col("key").alias("__key"), "n_tokens", F.get(names, (F.array_position("posterior", top) - 1).cast("int")).alias("domain"), top.alias("likeliest"), F.round("rate", 9).alias("rate"))
     rated = rated.dropDuplicates(["__key"]).withColumnRenamed("likeliest", "posterior")
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(rated.hint("shuffle_hash"), "__key", "left").drop("__key")
+    name = ex.unused(docs.columns, "key")
+    return docs.withColumn(name, key).join(rated.withColumnRenamed("__key", name).hint("shuffle_hash"), name, "left").drop(name)

@@ -63,7 +63,10 @@ def test_bitmap_has_no_false_negatives(spark, n):
     assert made.may_have(others).mean() < 0.01
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("held", [1 << 20, 300])
+def test_components_equal_union_find(spark, held, monkeypatch):
+    """In one task, and in rounds of many."""
+    monkeypatch.setattr(ex, "TASK_EDGES", held)
     rnd = random.Random(8)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)]
     edges += [(1000, 1001 + i) for i in range(3000)]  # a hub
@@ -81,6 +84,29 @@ def test_components_equal_union_find(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     alone = {x for e in edges for x in e} - {x for a, b in edges if a != b for x in (a, b)}
-    got = {r.node: r.root for r in ex.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in ex.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {x: find(x) for x in parent if x not in alone}
     assert ex.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sizes_grow_with_the_input():
+    """A packed row holds several records at any size, and no block or flush is beyond its bound."""
+    for total in (10**6, 10**9, 10**12, 10**14):
+        size = min(ex.MOST_BLOCK_BYTES, max(ex.BLOCK_BYTES, 10 * int(total**0.5)))
+        blocks = total // size + 1
+        assert ex.flush_bytes(blocks) <= ex.MOST_FLUSH_BYTES
+        assert ex.flush_bytes(blocks) / 6 / blocks > 8  # words of six bytes
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        ex.shared_folder(type("S", (), {"sparkContext": Context()})())
