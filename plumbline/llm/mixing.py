@@ -1,6 +1,8 @@
 """Mixing sources to target weights, with soft membership.
 
-A naive Bayes classifier learned from a table of labelled documents gives every document a posterior over domains.
+A naive Bayes classifier learned from a table of labelled documents gives every document a posterior over domains.  Words
+of a text are no independent witnesses, so its log likelihoods are scaled and shifted by what fits a part of the
+labelled documents that it was not learned from: posteriors are probabilities, and their sums expected tokens.
 Nonnegative document rates are then fitted so that the expected tokens of each domain, sum of rate * tokens *
 posterior, meet target totals: generalised least squares, by Newton steps on one multiplier for each domain.  Every
 step is one aggregate over all documents; only sums by domain reach the driver.  Only DataFrame functions are used.
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 from plumbline.llm import exchange as ex
 from plumbline.llm.labelled import bounded_sample
 
-#: Labelled documents that the classifier is fitted on at most, and documents a word must be in.
+#: Labelled documents that the classifier is fitted on at most, of which one in so many is for the scale; and documents that a
+#: word must be in to be known.
 TRAINING_DOCUMENTS = 10_000
+SCALE_SHARE = 5
 LEAST_DOCUMENTS = 5
-#: How many times as frequent a known word is in some domain as in all documents, at least.
-LEAST_LIFT = 2.5
+#: Documents' worth of a word's frequency everywhere that its frequency in each domain is smoothed with: a rare word says little.
+SMOOTH = 500.0
 #: Known words that are broadcast at most; more are joined with a shuffle.
 BROADCAST_WORDS = 100_000
 #: Share of each domain (q: quality, t: toxicity, as labelled) in the mix; domains not named get none.
@@ -33,6 +37,8 @@ MOST_RATE = math.inf
 #: The fit ends when every domain's total is this close (as a share of all tokens) to its target, or to the best that can be reached
 #: where the target can't.  A round in which the objective falls by no more than this share is at the limit of the arithmetic.
 TOLERANCE, LEAST_GAIN, MOST_ROUNDS = 1e-6, 1e-14, 200
+#: Share of an even metric in that of the errors: without, a direction in which documents hardly differ would outweigh all others.
+RIDGE = 0.1
 #: Weight of the distance from even rates beside the totals' errors: it picks among rates that do equally well.
 EVEN = 1e-8
 #: Marks that prose seldom has, and capitals in a row.
@@ -62,62 +68,106 @@ def with_words(docs: DataFrame, *keep: Column) -> DataFrame:
 @dataclass
 class Classifier:
     domains: list[str]
-    #: Log likelihood of each domain and of the absence of all known words in it.
+    #: Log share of each domain.
     log_prior: list[float]
-    #: (word, w_0, w_1, ...): what a word's presence adds in each domain; written down.
+    #: (word, w_0, w_1, ...): what a word's presence adds in each domain, the log of its frequency there to that everywhere; written down.
     table: DataFrame | None = field(default=None, repr=False)
     n_words: int = 0
+    #: Log likelihoods times scale plus shift are the logs of posteriors, but for a constant.
+    scale: float = 1.0
+    shift: tuple[float, ...] = ()
 
     @property
     def words(self) -> dict[str, list[float]]:
         """The table as a dictionary: for looking at it."""
         return {r[0]: list(r[1:]) for r in self.table.toLocalIterator()} if self.n_words else {}
 
-    def posteriors(self, docs: DataFrame, key: Column) -> DataFrame:
-        """(key, n_tokens, posterior) of every row of docs: an array<double> over the domains, from the distinct known words and the shapes."""
+    def logs(self, docs: DataFrame, key: Column) -> DataFrame:
+        """(key, n_tokens, log) of every row of docs: log likelihoods of the domains, from the distinct known words and the shapes."""
         n = len(self.domains)
         words = with_words(docs, key.alias("key"), F.monotonically_increasing_id().alias("__row"))
-        if not n:
-            return words.select("key", "n_tokens", F.array().cast("array<double>").alias("posterior"))
-        if self.n_words:
-            # no word is empty: the prior stands for that, so a row without known words has a match too
-            prior = self.table.sparkSession.createDataFrame([("", *self.log_prior)], self.table.schema)
-            known = self.table.unionByName(prior)
-            each = words.select("key", "__row", "n_tokens", F.explode(F.concat("words", "shapes", F.array(F.lit("")))).alias("word"))
-            df = each.join(F.broadcast(known) if self.n_words <= BROADCAST_WORDS else known, "word")
-            df = df.groupBy("key", "__row", "n_tokens").agg(*(F.sum(f"w_{d}").alias(f"w_{d}") for d in range(n))).withColumn("__log", F.array(*(f"w_{d}" for d in range(n))))
-        else:
-            df = words.withColumn("__log", F.array(*(F.lit(x) for x in self.log_prior)))
+        if not self.n_words:
+            return words.select("key", "n_tokens", F.array(*(F.lit(x) for x in self.log_prior)).cast("array<double>").alias("log"))
+        # no word is empty: the prior stands for that, so a row without known words has a match too
+        prior = self.table.sparkSession.createDataFrame([("", *self.log_prior)], self.table.schema)
+        known = self.table.unionByName(prior)
+        each = words.select("key", "__row", "n_tokens", F.explode(F.concat("words", "shapes", F.array(F.lit("")))).alias("word"))
+        df = each.join(F.broadcast(known) if self.n_words <= BROADCAST_WORDS else known, "word")
+        df = df.groupBy("key", "__row", "n_tokens").agg(*(F.sum(f"w_{d}").alias(f"w_{d}") for d in range(n)))
+        return df.select("key", "n_tokens", F.array(*(f"w_{d}" for d in range(n))).alias("log"))
+
+    def posteriors(self, docs: DataFrame, key: Column) -> DataFrame:
+        """(key, n_tokens, posterior) of every row of docs: an array<double> over the domains."""
+        shift = F.array(*(F.lit(float(x)) for x in (self.shift or [0.0] * len(self.domains)))).cast("array<double>")
+        df = self.logs(docs, key).withColumn("__log", F.zip_with("log", shift, lambda x, b: x * F.lit(self.scale) + b))
         df = ex.once(df.select("key", "n_tokens", "__log"), "__top", F.array_max("__log"))
         df = ex.once(df, "__scaled", F.transform("__log", lambda x: F.exp(x - F.col("__top"))))
         df = ex.once(df, "__sum", F.aggregate("__scaled", F.lit(0.0), lambda a, b: a + b))
         return df.select("key", "n_tokens", F.transform("__scaled", lambda x: x / F.col("__sum")).alias("posterior"))
 
 
+def fit_scale(log: np.ndarray, domain: np.ndarray, rounds: int = 50) -> tuple[float, tuple[float, ...]]:
+    """The scale and shifts under which softmax(scale * log + shift) fits domains best: a convex problem of few numbers, by Newton steps."""
+    n, k = log.shape
+    spread = max(float(log.std()), 1e-9)
+    log = (log - log.max(axis=1, keepdims=True)) / spread
+    theta, ridge = np.zeros(k + 1), 1e-3 * n
+    for _ in range(rounds):
+        z = theta[0] * log + theta[1:]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        off = p - (np.arange(k) == domain[:, None])
+        mean = (p * log).sum(axis=1)
+        slope = np.append((off * log).sum(), off.sum(axis=0)) + ridge * theta
+        cross = (p * (log - mean[:, None])).sum(axis=0)
+        second = np.zeros((k + 1, k + 1))
+        second[0, 0] = (p * log**2).sum() - (mean**2).sum()
+        second[0, 1:] = second[1:, 0] = cross
+        second[1:, 1:] = np.diag(p.sum(axis=0)) - p.T @ p
+        step = np.linalg.solve(second + ridge * np.eye(k + 1), slope)
+        theta -= step * min(1.0, 3 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(theta[0]) / spread, 0.0), tuple(theta[1:].tolist())
+
+
 def domain_of_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of labels with both marks, one row for each id (its largest domain)."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))).alias("domain"))
 
 
+def for_scale() -> Column:
+    """Whether a labelled document is one that fits the scale."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(SCALE_SHARE)) == 0
+
+
 def fit_classifier(docs: DataFrame, domains: DataFrame) -> Classifier:
-    """From at most TRAINING_DOCUMENTS of (doc_id, domain): smoothed presence in each domain of all words that tell something."""
-    chosen = F.broadcast(bounded_sample(domains, TRAINING_DOCUMENTS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    sample = with_words(texts, F.col("domain")).select("domain", F.concat("words", "shapes").alias("words"))
-    sizes = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
+    """From at most TRAINING_DOCUMENTS of (doc_id, domain): smoothed presence in each domain of all words of LEAST_DOCUMENTS
+    documents, and the scale of what they say together."""
+    chosen = ex.checkpoint(bounded_sample(domains, TRAINING_DOCUMENTS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    learned = texts.filter(~for_scale())
+    sample = with_words(learned, F.col("domain")).select("domain", F.concat("words", "shapes").alias("words"))
+    sizes = {r["domain"]: r["n"] for r in learned.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     names, total = list(sizes), sum(sizes.values())
     if not names:
         return Classifier([], [])
     seen = sample.select("domain", F.explode("words").alias("word")).filter("word <> ''")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(names)))
-    lift = F.greatest(*(F.col(f"n_{i}") * F.lit(total / sizes[d]) / F.col("n") for i, d in enumerate(names)), F.lit(0.0))
-    there = [(F.col(f"n_{i}") + 0.2) / F.lit(sizes[d] + 0.4) for i, d in enumerate(names)]
-    weights = [F.log(x / (1 - x)).alias(f"w_{i}") for i, x in enumerate(there)]
-    table = ex.checkpoint(counts.filter((F.col("n") >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)).select("word", *weights))
-    # log(1 - there), for the absence of a word, is -log(1 + exp(weight))
-    sums = table.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(-F.log1p(F.exp(f"w_{i}"))), F.lit(0.0)).alias(f"absent_{i}") for i in range(len(names)))).first()
-    return Classifier(names, [float(np.log(sizes[d] / total)) + sums[f"absent_{i}"] for i, d in enumerate(names)], table, sums["n"])
+    everywhere = (F.col("n") + 0.2) / F.lit(total + 0.4)
+    there = [(F.col(f"n_{i}") + F.lit(SMOOTH) * everywhere) / F.lit(sizes[d] + SMOOTH) for i, d in enumerate(names)]
+    weights = [F.log(x / everywhere).alias(f"w_{i}") for i, x in enumerate(there)]
+    table = ex.checkpoint(counts.filter(F.col("n") >= LEAST_DOCUMENTS).select("word", *weights))
+    made = Classifier(names, [float(np.log(sizes[d] / total)) for d in names], table, table.count())
+    place = F.array_position(F.array(*(F.lit(d) for d in names)), F.col("domain")) - 1
+    fold = texts.filter(for_scale()).select("text", F.struct("doc_id", place.alias("place")).alias("fold"))
+    # a number for each domain of a fifth of TRAINING_DOCUMENTS rows
+    got = [(r["key"]["doc_id"], r["key"]["place"], r["log"]) for r in made.logs(fold, F.col("fold")).collect() if r["key"]["place"] >= 0]
+    got.sort()
+    if len({place for _, place, _ in got}) > 1:
+        made.scale, made.shift = fit_scale(np.array([log for *_, log in got]), np.array([place for _, place, _ in got]))
+    return made
 
 
 @dataclass
@@ -138,7 +188,7 @@ def _rate(even: float, posterior: Column, y: np.ndarray) -> tuple[Column, Column
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> Mix:
     """Nonnegative rates for (key, n_tokens, posterior) rows whose domain totals meet targets * budget (default: all tokens).
 
-    The objective is res' M^-1 res with res the domain totals' errors and M = sum of tokens * posterior posterior', and EVEN
+    The objective is res' M^-1 res with res the domain totals' errors and M = sum of tokens * posterior posterior' + RIDGE, and EVEN
     times the rates' distance from an even one.  Its dual has one multiplier for each domain, y: rates are even + posterior' y cut
     off at 0, and y is where res + EVEN * M y = 0.  That is the slope of a convex, piecewise quadratic function, so Newton
     steps, shortened where they overshoot, end at it.
@@ -153,6 +203,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         return Mix(members.withColumn("rate", F.lit(1.0)), [], [])
     square = lambda row: np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
     m = square(first)
+    m = m + RIDGE * np.trace(m) / n * np.eye(n)
     budget = total if budget is None else budget
     wanted = np.array([targets.get(d, 0.0) * budget for d in domains])
     even = min(budget / total, MOST_RATE)

@@ -10,7 +10,7 @@ from plumbline.llm import mixing
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    d = "/root/testdata/sf0.001"
+    d = "/root/testdata/sf0.01"
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
@@ -28,9 +28,10 @@ def shapes(text):
 def posterior(c, text):
     words = {w for w in re.split("[ \t\n\x0b\x0c\r]", text or "") if w}
     words |= shapes(text or "")
-    total = list(c.log_prior)
-    for w in words & set(c.words):
-        total = [a + b for a, b in zip(total, c.words[w], strict=True)]
+    total, known = list(c.log_prior), c.words
+    for w in words & set(known):
+        total = [a + b for a, b in zip(total, known[w], strict=True)]
+    total = [c.scale * a + b for a, b in zip(total, c.shift or [0.0] * len(total), strict=True)]
     e = [math.exp(x - max(total)) for x in total]
     return [x / sum(e) for x in e]
 
@@ -65,7 +66,8 @@ def test_rates_are_optimal_where_targets_are_out_of_reach(spark, monkeypatch):
         got = mix.rates.withColumnRenamed("rate", "r").collect()
         a = np.array([[r.n_tokens * x for x in r.posterior] for r in got])
         rate, n = np.array([r.r for r in got]), np.array([r.n_tokens for r in got])
-        inverse = np.linalg.inv((a / n[:, None]).T @ a)
+        metric = (a / n[:, None]).T @ a
+        inverse = np.linalg.inv(metric + mixing.RIDGE * np.trace(metric) / 3 * np.eye(3))
         slope = (a @ inverse @ (a.T @ rate - np.array(mix.wanted))) / n
         inner = (rate > 1e-9) & (rate < mixing.MOST_RATE - 1e-9)
         assert np.abs(slope[inner]).max(initial=0) < 2e-2
@@ -105,14 +107,61 @@ def test_totals_are_met_wherever_rates_can_meet_them(spark):
 
 def test_all_telling_words_are_known(spark):
     """Each domain has far more words of its own than any short list; a document with one of them is recognised by it."""
-    rows = [(i, f"both own{i // 5}") for i in range(3000)]
+    rows = [(i, f"both own{i // 20}") for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i // 5 % 2, i // 10 % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, i // 20 % 2, i // 40 % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
     c = mixing.fit_classifier(docs, mixing.domain_of_labels(labels))
-    assert set(c.words) == {f"own{k}" for k in range(600)}
+    assert set(c.words) == {f"own{k}" for k in range(300)} | {"both"}
     # the same words in the same document twice: rows count each
     got = c.posteriors(docs.union(docs), mixing.F.col("doc_id")).collect()
     assert len(got) == 2 * len(rows)
     for r in got:
-        assert c.domains[r.posterior.index(max(r.posterior))] == f"q{r.key // 5 % 2}t{r.key // 10 % 2}"
-        assert r.posterior == pytest.approx(posterior(c, f"both own{r.key // 5}")) if r.key % 500 == 0 else True
+        assert c.domains[r.posterior.index(max(r.posterior))] == f"q{r.key // 20 % 2}t{r.key // 40 % 2}"
+        assert r.posterior == pytest.approx(posterior(c, f"both own{r.key // 20}")) if r.key % 1000 == 0 else True
+
+
+def test_classifier_equals_brute_force(tables):
+    """Prior, weights and scale, from the texts and labels alone."""
+    docs, labels = tables
+    c = mixing.fit_classifier(docs, mixing.domain_of_labels(labels))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    folds = {r.doc_id: r.scale for r in docs.select("doc_id", mixing.for_scale().alias("scale")).collect()}
+    domain = {r.doc_id: f"q{r.quality}t{r.toxic}" for r in labels.collect() if r.doc_id in texts}
+    words = {d: {w for w in re.split("[ \t\n\x0b\x0c\r]", texts[d]) if w} | shapes(texts[d]) for d in domain}
+    learned = [d for d in domain if not folds[d]]
+    size = Counter(domain[d] for d in learned)
+    n = Counter(w for d in learned for w in words[d])
+    by = Counter((w, domain[d]) for d in learned for w in words[d])
+    known = {w for w in n if n[w] >= mixing.LEAST_DOCUMENTS}
+    assert c.domains == sorted(size)
+    everywhere = {w: (n[w] + 0.2) / (len(learned) + 0.4) for w in known}
+    got = c.words
+    assert set(got) == known
+    for w in known:
+        assert got[w] == pytest.approx([math.log((by[w, d] + mixing.SMOOTH * everywhere[w]) / (size[d] + mixing.SMOOTH) / everywhere[w]) for d in c.domains])
+    assert c.log_prior == pytest.approx([math.log(size[d] / len(learned)) for d in c.domains])
+    log, place = [], []
+    for d in sorted(x for x in domain if folds[x] and domain[x] in size):
+        log.append([sum((got[w][i] for w in words[d] & known), c.log_prior[i]) for i in range(len(c.domains))])
+        place.append(c.domains.index(domain[d]))
+    scale, shift = mixing.fit_scale(np.array(log), np.array(place))
+    assert c.scale == pytest.approx(scale, rel=1e-6) and c.shift == pytest.approx(shift, abs=1e-6)
+
+
+def test_scale_makes_probabilities():
+    """Overconfident log likelihoods are brought back to the truth, and no neighbouring scale or shift fits better."""
+    rng = np.random.default_rng(2)
+    true = rng.normal(size=(3000, 3)) + np.array([0.5, 0, -0.5])
+    p = np.exp(true) / np.exp(true).sum(axis=1, keepdims=True)
+    domain = np.array([rng.choice(3, p=x) for x in p])
+    log = 20 * (true - np.array([0.5, 0, -0.5]))
+    scale, shift = mixing.fit_scale(log, domain)
+
+    def loss(scale, shift):
+        z = scale * log + np.array(shift)
+        z -= z.max(axis=1, keepdims=True)
+        return -(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[np.arange(len(z)), domain].mean()
+
+    assert scale == pytest.approx(1 / 20, rel=0.15)
+    assert all(loss(scale, shift) <= loss(scale * f, shift) + 1e-4 for f in (0.8, 1.25))
+    assert np.array(shift) - shift[1] == pytest.approx([0.5, 0, -0.5], abs=0.15)
