@@ -39,6 +39,11 @@ MOST_RATE = math.inf
 TOLERANCE, LEAST_GAIN, MOST_ROUNDS = 1e-6, 1e-14, 200
 #: Share of an even metric in that of the errors: without, a direction in which documents hardly differ would outweigh all others.
 RIDGE = 0.1
+#: Where targets can't be met, the evenest rates are taken whose largest error is at most so many times the least, among rates that
+#: leave at least this share of the tokens in effect (the square of the rates' sum to the sum of squares): a handful is no mix.
+WORTH, EFFECTIVE = 1.25, 0.25
+#: Share of all tokens by which a total must differ for its target to be out of reach.
+MISSED = 1e-3
 #: Weight of the distance from even rates beside the totals' errors: it picks among rates that do equally well.
 EVEN = 1e-8
 #: Marks that prose seldom has, and capitals in a row.
@@ -228,8 +233,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
     y, rounds = np.zeros(n), 0
     e, reached, inner = at(y)
+    levels: list[tuple[float, np.ndarray, np.ndarray, float]] = []
     # the even rates' weight falls step by step, so that every fit begins near its end
-    for weight in (1e-2, 1e-4, 1e-6, EVEN):
+    for weight in (1.0, 0.1, 1e-2, 1e-4, 1e-6, EVEN):
         while rounds < MOST_ROUNDS:
             slope = reached - wanted + weight * (m @ y)
             if np.abs(slope).max() <= TOLERANCE / 10 * budget:
@@ -248,8 +254,16 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
             y, (e, reached, inner) = to, found
             if gain <= LEAST_GAIN * abs(before):
                 break
-        if np.abs(reached - wanted).max() <= TOLERANCE * budget:
+        error = float(np.abs(reached - wanted).max())
+        r = _rate(even, F.col("posterior"), y)[1]
+        size = members.agg((F.sum(t * r) * F.sum(t * r) / F.sum(t * r * r)).alias("k")).first()["k"] or 0.0
+        levels.append((error, y, reached, size / total))
+        if error <= TOLERANCE * budget:
             break
+    if levels[-1][0] > MISSED * budget:  # a target is out of reach: rates shall not part company for next to nothing
+        some = [x for x in levels if x[3] >= EFFECTIVE] or levels[:1]
+        least = min(error for error, *_ in some)
+        _, y, reached, _ = next(x for x in some if x[0] <= WORTH * least)
     if np.abs(reached - wanted).max() > TOLERANCE * budget:
         logging.getLogger(__name__).warning("domain totals %s for targets %s after %d rounds", dict(zip(domains, reached / budget, strict=True)), dict(zip(domains, wanted / budget, strict=True)), rounds)
     return Mix(members.withColumn("rate", _rate(even, F.col("posterior"), y)[1]), reached.tolist(), wanted.tolist())

@@ -57,6 +57,8 @@ def test_posteriors_and_totals(tables):
 def test_rates_are_optimal_where_targets_are_out_of_reach(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAST_GAIN", 1e-9)
     monkeypatch.setattr(mixing, "MOST_ROUNDS", 200)
+    monkeypatch.setattr(mixing, "WORTH", 1.0)
+    monkeypatch.setattr(mixing, "EFFECTIVE", 0.0)
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 60)
     t = rng.integers(1, 400, 60)
@@ -74,6 +76,20 @@ def test_rates_are_optimal_where_targets_are_out_of_reach(spark, monkeypatch):
         assert (slope[rate <= 1e-9] > -2e-2).all() and (slope[rate >= mixing.MOST_RATE - 1e-9] < 2e-2).all()
 
 
+def test_a_target_out_of_reach_does_not_empty_the_mix(spark):
+    """Nothing has much of one domain: its target is missed, and the rates stay near each other all the same."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.uniform(0.0001, 0.003, (3000, 2)), rng.dirichlet([20, 2], 3000)], axis=1)
+    p /= p.sum(axis=1, keepdims=True)
+    t = rng.integers(1, 400, len(p))
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "n_tokens long, posterior array<double>")
+    mix = mixing.fit_rates(rows, ["q0t0", "q0t1", "q1t0", "q1t1"], mixing.TARGETS)
+    rate = np.array([r.rate for r in mix.rates.collect()])
+    assert (rate * t).sum() ** 2 / (rate**2 * t).sum() / t.sum() >= mixing.EFFECTIVE and rate.max() < 20
+    want = np.array([mixing.TARGETS[d] for d in ("q0t0", "q0t1", "q1t0", "q1t1")])
+    assert np.abs((rate * t) @ p / t.sum() - want).max() < 0.06
+
+
 def test_nulls_repeats_and_other_columns(spark, docs, rows):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mixed(docs, labels).collect()
