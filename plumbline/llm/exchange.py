@@ -108,11 +108,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def block_count(docs: DataFrame) -> int:
-    """Blocks for an exchange: by the text, and at least the session's shuffle partitions."""
-    total = int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+
+
+def blocks_for(spark: SparkSession, total: int) -> int:
+    """Blocks for an exchange: by the text's bytes, and at least the session's shuffle partitions."""
     size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, 10 * math.isqrt(total)))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // size + 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // size + 1)
+
+
+def block_count(docs: DataFrame) -> int:
+    return blocks_for(docs.sparkSession, text_bytes(docs))
 
 
 def flush_bytes(blocks: int) -> int:

@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as ex
 from plumbline.llm import spans
 from plumbline.llm import textcore as tc
 
 LAST = spans.LAST
+#: Flushes of map tasks that meet at once: of more, some meet first, so a chunk that is everywhere comes to its block from these only.
+FAN_IN = 4096
 #: A chunk on its way; body is null where it is settled already that it goes.
 CHUNK = pa.schema([("block", pa.int32()), ("h", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("body", pa.binary())])
 
@@ -75,7 +79,9 @@ def _repeats(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray,
 
 def removals(rows: DataFrame) -> DataFrame:
     """(doc_id, row_key, spans) to remove from keyed rows."""
-    blocks = ex.block_count(rows)
+    total = ex.text_bytes(rows)
+    blocks = ex.blocks_for(rows.sparkSession, total)
+    ways = int(total / (ex.flush_bytes(blocks) * FAN_IN)) + 1
 
     def per_chunk(batch, data, offsets, first, last):  # noqa: ANN001, ANN202
         h, of, start, end = line_chunks(data, offsets)
@@ -90,7 +96,10 @@ def removals(rows: DataFrame) -> DataFrame:
     def flush(parts: list) -> list:
         h, doc, key, start, end = (np.concatenate([p[i] for p in parts]) for i in range(5))
         bodies = [b for p in parts for b in p[5]]
-        stay, go = _repeats(h, doc, key, start, bodies.__getitem__)
+        return dealt(h, doc, key, start, end, bodies.__getitem__)
+
+    def dealt(h, doc, key, start, end, body) -> list:  # noqa: ANN001
+        stay, go = _repeats(h, doc, key, start, body)
         _, once = np.unique(np.stack([key[stay], start[stay]]), axis=1, return_index=True) if len(stay) else (None, np.zeros(0, dtype=np.int64))
         stay = stay[once]
         out = []
@@ -98,9 +107,17 @@ def removals(rows: DataFrame) -> DataFrame:
             if len(at):
                 order = np.argsort(block, kind="stable")
                 at, block = at[order], block[order]
-                out.append(pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(h[at].view(np.int64)), pa.array(doc[at]), pa.array(key[at]), pa.array(start[at].astype(np.int32)), pa.array(end[at].astype(np.int32)), pa.array([bodies[i] for i in at.tolist()] if with_body else [None] * len(at), pa.binary())], schema=CHUNK))
+                out.append(pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(h[at].view(np.int64)), pa.array(doc[at]), pa.array(key[at]), pa.array(start[at].astype(np.int32)), pa.array(end[at].astype(np.int32)), pa.array([body(i) for i in at.tolist()] if with_body else [None] * len(at), pa.binary())], schema=CHUNK))
         return out
 
+    def some_meet(table: pa.Table) -> pa.Table:
+        table = table.select(CHUNK.names).cast(CHUNK)
+        settled = table.column("body").is_null()
+        bodies = table.filter(pc.invert(settled)).combine_chunks()
+        h, doc, key, start, end = (bodies.column(c).to_numpy() for c in ("h", "doc", "key", "start", "end"))
+        body = bodies.column("body").combine_chunks()
+        return pa.concat_tables([table.filter(settled), pa.Table.from_batches(dealt(h.view(np.uint64), doc, key, start, end, lambda i: body[i].as_py()), schema=CHUNK)])
+
     def at_block(table: pa.Table) -> pa.Table:
         settled = table.column("body").is_null().to_numpy()
         h, doc, key, start, end = (table.column(c).to_numpy() for c in ("h", "doc", "key", "start", "end"))
@@ -110,7 +127,10 @@ def removals(rows: DataFrame) -> DataFrame:
         gone = np.concatenate([open_[go], np.flatnonzero(settled)])
         return spans.answers(doc[gone], key[gone], start[gone], end[gone])
 
-    sent = rows.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), "block int, h long, doc long, key long, start int, end int, body binary")
+    kind = "block int, h long, doc long, key long, start int, end int, body binary"
+    sent = rows.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), kind)
+    if ways > 1:  # by the task they come from, then all
+        sent = sent.withColumn("way", F.pmod(F.spark_partition_id(), F.lit(ways))).groupBy("block", "way").applyInArrow(some_meet, kind)
     return spans.merged(sent.groupBy("block").applyInArrow(at_block, spans.ANSWER))
 
 

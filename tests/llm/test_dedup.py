@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from plumbline.llm import line_dedup, substring_dedup
 from plumbline.llm import textcore as tc
 
@@ -137,7 +139,9 @@ def line_chunks(t):
     return [(a, b) for (a, b, i), (*_, before) in zip(out, [(0, 0, -1), *out], strict=False) if i - before >= 2]
 
 
-def test_line_dedup_equals_brute_force(rows, spark):
+@pytest.mark.parametrize("fan_in", [4096, 0.002])
+def test_line_dedup_equals_brute_force(rows, spark, fan_in, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FAN_IN", fan_in)
     clean = [r for r in {r[:2] for r in rows} if sum(1 for x in {y[:2] for y in rows} if x[0] == r[0]) == 1]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(clean, "doc_id long, text string").repartition(3)).collect()}
     seen, want, gone = set(), {}, 0
