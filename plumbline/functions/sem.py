@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,12 @@ def _col(x: Column | str) -> Column:
 
 
 def sum_int(x: Column | str) -> Column:
-    """Exact sum of integers in 38 digits."""
-    return F.sum(_col(x).cast(HUGEINT)).cast(HUGEINT)
+    """Exact sum of integers (64 bits at most) in 38 digits, from sums of their parts: no decimal is made for a row."""
+    x = _col(x).cast("bigint")
+    bits, low = 21, (1 << 21) - 1
+    parts = ((F.shiftright(x, 2 * bits), 1 << 2 * bits), (F.shiftright(x, bits).bitwiseAND(F.lit(low)), 1 << bits), (x.bitwiseAND(F.lit(low)), 1))
+    high, middle, rest = (F.sum(p).cast(HUGEINT) * F.lit(str(unit)).cast("decimal(14,0)") for p, unit in parts)
+    return (high + middle + rest).cast(HUGEINT)
 
 
 def sum_dec(x: Column | str, scale: int) -> Column:
@@ -83,9 +88,26 @@ def strlen(s: Column | str) -> Column:
     return F.octet_length(_col(s)).cast("long")
 
 
+#: Characters whose upper case has several characters, and the single one that simple case mapping gives them.
+UPPER = {c: "\u1e9e" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+#: Characters whose lower case has several characters or depends on what stands around them.
+LOWER = {"\u0130": "i", "\u03a3": "\u03c3"}
+
+
+def _simple_case(f: Callable[[Column], Column], s: Column, special: dict[str, str]) -> Column:
+    of, to = "".join(special), "".join(special.values())
+    each = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.contains(F.lit(of), c), F.translate(c, of, to)).otherwise(f(c)))
+    return F.when(s.rlike(f"[{of}]"), F.array_join(each, "")).otherwise(f(s))
+
+
 def upper(s: Column | str) -> Column:
-    """Upper case by code point: ß has a capital of its own."""
-    return F.upper(F.replace(_col(s), F.lit("ß"), F.lit("ẞ")))
+    """Upper case that maps every character to one."""
+    return _simple_case(F.upper, _col(s), UPPER)
+
+
+def lower(s: Column | str) -> Column:
+    """Lower case that maps every character to one."""
+    return _simple_case(F.lower, _col(s), LOWER)
 
 
 def cast_int(x: Column | str, kind: str = "int", of: str = "double") -> Column:

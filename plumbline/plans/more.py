@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.engine import Engine
+from plumbline.functions import sem
 from plumbline.operators import window
 from plumbline.plans.registry import register
 from plumbline.plans.text import sql_query as q
@@ -46,6 +47,11 @@ q("group_sets_empty", "SELECT n_regionkey, n_name, max(n_nationkey) AS m FROM na
 q("win_filter", "SELECT o_orderkey, count(*) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_custkey) AS n, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS t FROM orders")
 q("win_everything", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / sum(l_extendedprice) OVER (), 12) AS share, count(*) OVER () AS n, count(*) FILTER (WHERE l_quantity > 25) OVER () AS many, max(l_shipdate) OVER () AS last FROM lineitem WHERE l_discount > 0.02")
 q("win_nth_value", "SELECT event_id, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, lag(NULLIF(event_type, 'click') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events")
+register(
+    "df_case_and_sums",
+    lambda s, d: (lambda t: t.groupBy(sem.upper("x").alias("u"), sem.lower("x").alias("l")).agg(sem.sum_int(F.col("n_nationkey").cast("long") * 300000000000000000).cast("string").alias("s")))(prepared(s).read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.concat(F.lit("ﬁß İΑΣ "), F.col("n_regionkey").cast("string")).alias("x"))),
+    "SELECT upper(x) AS u, lower(x) AS l, CAST(sum(CAST(n_nationkey AS BIGINT) * 300000000000000000) AS VARCHAR) AS s FROM (SELECT n_nationkey, concat('ﬁß İΑΣ ', CAST(n_regionkey AS VARCHAR)) AS x FROM nation) AS t GROUP BY 1, 2",
+)
 register(
     "df_whole_table",
     lambda s, d: window.whole_table(prepared(s).read.parquet(f"{d}/orders.parquet").select("o_orderkey"), hi=F.max("o_orderkey"), n=F.count("*")),
