@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException, ParseException
@@ -13,6 +16,17 @@ from plumbline.session import prepared
 from plumbline.sources import parquet_tables
 
 
+@contextmanager
+def _quietly() -> Iterator[None]:
+    """Without a line in the log for each expression that Catalyst can't analyse as it stands: the answer is what is asked for."""
+    logger = logging.getLogger("SQLQueryContextLogger")
+    was, logger.disabled = logger.disabled, True
+    try:
+        yield
+    finally:
+        logger.disabled = was
+
+
 class Engine:
     """SQL text over registered tables.  Nothing runs before a result is read."""
 
@@ -35,13 +49,15 @@ class Engine:
 
     def _types(self, text: str) -> list[str] | None:
         try:
-            return [kind for _, kind in self.spark.sql(text).dtypes]
+            with _quietly():
+                return [kind for _, kind in self.spark.sql(text).dtypes]
         except (AnalysisException, ParseException):
             return None
 
     def _columns(self, text: str) -> list[str] | None:
         try:
-            return self.spark.sql(text).columns
+            with _quietly():
+                return self.spark.sql(text).columns
         except (AnalysisException, ParseException):
             return None
 
