@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import logging
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException, ParseException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.dialect import DialectError, Translator
@@ -19,7 +19,7 @@ from plumbline.sources import parquet_tables
 @contextmanager
 def _quietly() -> Iterator[None]:
     """Without a line in the log for each expression that Catalyst can't analyse as it stands: the answer is what is asked for."""
-    logger = logging.getLogger("SQLQueryContextLogger")
+    logger = PySparkLogger.getLogger("SQLQueryContextLogger")
     was, logger.disabled = logger.disabled, True
     try:
         yield
