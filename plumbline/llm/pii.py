@@ -297,16 +297,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span of text generalised to its kind, as in ``<email>``; overlapping spans become one."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = ex.keyed(docs)
-    found = find_spans(rows, disclosing_terms(rows)).filter(F.size("spans") > 0).dropDuplicates(["row_key"]).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
-    both = docs.withColumn("__row_key", key).join(found.hint("shuffle_hash"), "__row_key", "left").drop("__row_key")
+    key, doc, held = (ex.unused(docs.columns, n) for n in ("row_key", "doc_id", "spans"))
+    found = find_spans(rows, disclosing_terms(rows)).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "row_key"]).select(F.col("row_key").alias(key), F.col("doc_id").alias(doc), F.col("spans").alias(held))
+    both = docs.join(found.hint("shuffle_hash"), (ex.row_key() == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").drop(key, doc)
     columns = docs.columns
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(held).to_pylist(), strict=True):
                 if spans:
                     parts, at = [], 0
                     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):

@@ -180,3 +180,7 @@ def test_many_addresses_take_linear_time():
 def test_other_tables(docs, rows, no_docs):
     assert pii.report(docs).count() == len(rows)
     assert pii.report(no_docs).count() == 0
+    odd = docs.selectExpr("*", "1 AS row_key", "2 AS spans", "3 AS __row_key", "4 AS __spans")
+    out = pii.sanitise(odd)
+    assert out.columns == odd.columns
+    assert {(r.row_key, r.spans, r["__row_key"], r["__spans"]) for r in out.collect()} == {(1, 2, 3, 4)} and out.count() == len(rows)
