@@ -10,14 +10,17 @@ at a weight of TOXIC_SHARE, the toxic one.  The score is a logistic curve over o
 log-likelihood of the text as a toxic document less that as an ordinary one; the curve is fitted on a fold of labelled
 documents that the counts don't have.
 
-Every five bytes of the training text count.  Counts are dealt by the three bytes in the middle, so a block has all
-that share a context, in either class or in the shared order 4; orders 3 and below have at most 2^24 entries.  The
-ratios that scoring needs, one for each five bytes seen and one for each context, are files in the folder that all
-executors share: they grow with the training text, and a scoring task reads them once for GATHER_BYTES of text.
+Every labelled document that is not held out is learned from, and every five bytes of the training text count.  Counts
+are dealt by the three bytes in the middle, so a block has all that share a context, in either class or in the shared
+order 4; orders 3 and below have at most 2^24 entries.  The ratios that scoring needs, one for each five bytes seen and
+one for each context, are files in the folder that all executors share: they grow with the training text, and a scoring
+task reads them once for GATHER_BYTES of text, or for more where they are larger than that.  The curve is fitted by sums
+over all documents of its fold, which stay where they are.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -34,22 +37,27 @@ from pyspark.sql import types as T
 from plumbline.llm import exchange as ex
 from plumbline.llm import labelled
 from plumbline.llm import textcore as tc
-from plumbline.llm.quality_crf import fit_logistic
 
-#: Labelled documents that are learned from at most; of four folds three are counted and one fits the curve.
-TRAINING_DOCUMENTS = 200_000
+#: Of the four folds that are learned from three are counted and one fits the curve.
 CURVE_FOLD = 4
+#: Labels up to which the table of them is broadcast; beyond, it is joined with a shuffle.
+BROADCAST_LABELS = 200_000
+#: Flushes of map tasks that meet at once: of more, some meet first, so a context that is everywhere comes to its block from these only.
+FAN_IN = 4096
+#: Documents of the curve's fold whose sums one task takes, about, and Newton steps at most.
+CURVE_ROWS = 1 << 20
+CURVE_STEPS = 50
 #: Bytes of the longest sequence that is counted.
 ORDER = 5
 #: Share of a toxic document's words that the toxic model speaks.
 TOXIC_SHARE = 0.01
-#: Text bytes that a scoring task gathers before it reads the ratios.
-GATHER_BYTES = 6 << 20
+#: Text bytes that a scoring task gathers before it reads the ratios, at least and at most: in between as many as the ratios have.
+GATHER_BYTES, MOST_GATHER_BYTES = 6 << 20, 24 << 20
 #: Sequences whose ratios one file has, about.
 FILE_GRAMS = 1 << 21
 #: A word's log-likelihood ratio counts up to this.
 MOST_RATIO = 30.0
-GRAM = np.dtype([("g", "<u8"), ("plain", "<u4"), ("toxic", "<u4")])
+GRAM = np.dtype([("g", "<u8"), ("plain", "<u8"), ("toxic", "<u8")])
 RATIO = np.dtype([("g", "<u8"), ("r", "<f4")])
 #: What a block of counts is made of, and one of ratios.
 GRAMS, SUMS, SUFFIXES = range(3)
@@ -168,23 +176,29 @@ def _dealt(g: np.ndarray, blocks: int) -> np.ndarray:
     return (tc.mix64(_low(g >> np.uint64(8), 3)) % np.uint64(blocks)).astype(np.int32)
 
 
-def count(sample: DataFrame) -> Counts:
-    """Counts of all five bytes of (text, label) rows."""
-    blocks = ex.block_count(sample)
+def count(texts: DataFrame, total: int | None = None) -> Counts:
+    """Counts of all five bytes of (text, label) rows; total is the bytes of their texts, if known."""
+    total = ex.text_bytes(texts) if total is None else total
+    blocks = ex.blocks_for(texts.sparkSession, total)
+    ways = total // (ex.flush_bytes(blocks) * FAN_IN) + 1
 
     def per_chunk(batch, data, offsets, first, last):  # noqa: ANN001, ANN202
         text = Bytes(data, offsets)
         toxic = np.repeat(batch.column("label").slice(first, last - first).to_numpy(), np.diff(text.offsets))
         return _added(text.grams(), {"plain": toxic == 0, "toxic": toxic == 1}, GRAM)
 
+    def together(got: np.ndarray) -> np.ndarray:
+        return _added(got["g"], {name: got[name] for name in ("plain", "toxic")}, GRAM)
+
     def flush(parts: list) -> list:
-        got = np.concatenate(parts)
-        got = _added(got["g"], {name: got[name] for name in ("plain", "toxic")}, GRAM)
+        got = together(np.concatenate(parts))
         return [ex.pack(_dealt(got["g"], blocks), 0, got)]
 
+    def some_meet(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(table.column("block")[0].as_py(), [(0, together(ex.unpack(table, 0, GRAM)))])])
+
     def at_block(table: pa.Table) -> pa.Table:
-        got = ex.unpack(table, 0, GRAM)
-        got = _added(got["g"], {name: got[name] for name in ("plain", "toxic")}, GRAM)
+        got = together(ex.unpack(table, 0, GRAM))
         four, n = np.unique(_low(got["g"], 4), return_counts=True)
         three, types = np.unique(_low(four, 3), return_counts=True)
         suffixes = np.zeros(len(three), SUFFIX)
@@ -198,7 +212,9 @@ def count(sample: DataFrame) -> Counts:
                 got = np.frombuffer(payload.as_buffer(), SUFFIX)
                 yield pa.RecordBatch.from_arrays([pa.array(got["s"].astype(np.int64)), pa.array(got["n"].astype(np.int64))], names=["s", "n"])
 
-    sent = sample.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), ex.PACKED)
+    sent = texts.mapInArrow(ex.map_flushed(per_chunk, flush, blocks), ex.PACKED)
+    if ways > 1:  # by the task they come from, then all
+        sent = sent.withColumn("way", F.pmod(F.spark_partition_id(), F.lit(ways))).groupBy("block", "way").applyInArrow(some_meet, ex.PACKED)
     grams = ex.checkpoint(sent.groupBy("block").applyInArrow(at_block, ex.PACKED))
     sums = grams.filter(F.col("kind") == SUMS).select("payload").collect()  # 56 bytes for each block
     # three bytes have 2^24 values at most, whatever the corpus
@@ -260,6 +276,8 @@ class Model:
     prior: float
     #: Slope and constant.
     curve: np.ndarray
+    #: Text bytes that a scoring task gathers.
+    gather: int = GATHER_BYTES
 
     def looked_up(self, grams: np.ndarray) -> np.ndarray:
         """Log-likelihood ratios of distinct sequences, ascending; 0 where neither class has the context."""
@@ -312,7 +330,7 @@ def _gathered(model: Model, made: Callable[[pa.RecordBatch, np.ndarray, np.ndarr
                 texts.append(Text(data[own[0] : own[-1]], own - own[0]))
             held.append((batch, texts))
             size += int(offsets[-1])
-            if size >= GATHER_BYTES:
+            if size >= model.gather:
                 yield from settle(held)
                 held, size = [], 0
         if held:
@@ -321,30 +339,64 @@ def _gathered(model: Model, made: Callable[[pa.RecordBatch, np.ndarray, np.ndarr
     return run
 
 
+def _sum(v: F.Column) -> F.Column:
+    """The sum of doubles as a whole number of 2^-60, which is the same in any order of the rows."""
+    return F.sum((v * float(1 << 60)).cast("decimal(28, 0)"))
+
+
+def fit_curve(found: DataFrame, ridge: float = 1e-6) -> np.ndarray | None:
+    """Slope and constant of a logistic curve over x for (x, label) rows, by Newton steps; None where labels are all alike.
+
+    A step takes five sums over all rows; nothing else comes to the driver.
+    """
+
+    def sums(*values: F.Column) -> np.ndarray:
+        return np.array([float(v) for v in found.agg(*map(_sum, values)).first()]) / (1 << 60)
+
+    n, ones = found.agg(F.count("*"), F.sum("label")).first()
+    if not 0 < (ones or 0) < n:
+        return None
+    found = found.coalesce(n // CURVE_ROWS + 1)
+    x, y = F.col("x"), F.col("label")
+    middle = float(sums(x)[0] / n)
+    spread = math.sqrt(sums((x - middle) * (x - middle))[0] / n) + 1e-9
+    z = (x - middle) / spread
+    w, damp = np.zeros(2), ridge * n * np.array([1.0, 0.0])
+    for _ in range(CURVE_STEPS):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(w[0]) + float(w[1])))))
+        v = p * (1 - p)
+        gz, g, hzz, hz, h = sums((p - y) * z, p - y, v * z * z, v * z, v)
+        step = np.linalg.solve(np.array([[hzz, hz], [hz, h]]) + np.diag(damp + [1e-9, 1e-6 * ridge * n + 1e-9]), np.array([gz, g]) + damp * w)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return np.array([w[0] / spread, w[1] - w[0] * middle / spread])
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """A model from at most TRAINING_DOCUMENTS labelled documents of the folds that may be learned from."""
-    chosen = ex.checkpoint(labelled.bounded_sample(labelled.training_labels(labels, column), TRAINING_DOCUMENTS))
+    """A model from all labelled documents of the folds that may be learned from."""
+    chosen = ex.checkpoint(labelled.training_labels(labels, column))
     stats = chosen.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     prior = float(((stats["ones"] or 0) + 1) / (stats["n"] + 2))
     plain = Model([], prior, np.array([0.0, np.log(prior / (1 - prior))]))
     if not 0 < (stats["ones"] or 0) < stats["n"]:
         return plain
-    texts = ex.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    counts = count(texts.filter(F.col("fold") != CURVE_FOLD))
+    chosen = F.broadcast(chosen) if stats["n"] <= BROADCAST_LABELS else chosen.hint("shuffle_hash")
+    texts = ex.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows of other folds leave before the join, and their lengths are summed without the texts
+    counted, curved = (texts.filter(which) for which in (~labelled.fold().isin(0, CURVE_FOLD), labelled.fold() == CURVE_FOLD))
+    total = counted.select("doc_id", F.octet_length("text").alias("b")).join(chosen, "doc_id").agg(F.sum("b").alias("b")).first()["b"]
+    counts = count(counted.join(chosen, "doc_id"), int(total or 0))
     if counts.low is None:
         return plain
-    model = Model(ratios(counts), prior, plain.curve)
+    gather = min(MOST_GATHER_BYTES, max(GATHER_BYTES, counts.n * RATIO.itemsize))
+    model = Model(ratios(counts), prior, plain.curve, gather)
 
     def made(batch: pa.RecordBatch, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(n, pa.int64()), pa.array(x, pa.float64())], names=["doc_id", "label", "n", "x"])
-
-    got = texts.filter(F.col("fold") == CURVE_FOLD).mapInArrow(_gathered(model, made), "doc_id long, label int, n long, x double").filter("n > 0").toArrow().sort_by([("doc_id", "ascending")])
-    x, y = got.column("x").to_numpy(), got.column("label").to_numpy().astype(float)
-    if len(set(y.tolist())) == 2:
-        middle, spread = x.mean(), x.std() + 1e-9
-        slope, constant = fit_logistic(np.stack([(x - middle) / spread, np.ones(len(x))], axis=1), y, ridge=1e-6)
-        model.curve = np.array([slope / spread, constant - slope * middle / spread])
-    return model
+        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(n, pa.int64()), pa.array(x, pa.float64())], names=["label", "n", "x"])
+
+    curve = fit_curve(ex.checkpoint(curved.join(chosen, "doc_id").mapInArrow(_gathered(model, made), "label int, n long, x double").filter("n > 0")))
+    return model if curve is None else Model(model.files, prior, curve, gather)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import labelled, toxicity_kn
 from plumbline.llm import textcore as tc
+from plumbline.llm.quality_crf import fit_logistic
 
 
 def made(n=900, seed=5):
@@ -172,3 +173,52 @@ def test_no_labels_and_one_label(spark, docs):
     assert {r.score for r in toxicity_kn.score(docs, model).select("score").distinct().collect()} == {0.5}
     model = toxicity_kn.fit(docs, docs.selectExpr("doc_id", "0 AS toxic"))
     assert all(r.score == pytest.approx(model.prior) for r in toxicity_kn.score(docs, model).collect())
+
+
+def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
+    """However many there are: 208,000 here."""
+    docs = spark.range(260_000).selectExpr("id AS doc_id", "concat('w', id % 97) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 = 0) AS toxic")
+    seen, count = [], toxicity_kn.count
+    monkeypatch.setattr(toxicity_kn, "count", lambda texts, *rest: seen.append(texts.count()) or count(texts, *rest))
+    model = toxicity_kn.fit(docs, labels)
+    used = labelled.training_labels(labels, "toxic")
+    assert seen == [used.filter(F.col("fold") != toxicity_kn.CURVE_FOLD).count()]
+    assert model.prior == (used.filter("label = 1").count() + 1) / (used.count() + 2)
+
+
+def test_joined_labels_give_the_same_model(fitted, monkeypatch):
+    docs, labels, model = fitted
+    monkeypatch.setattr(toxicity_kn, "BROADCAST_LABELS", 0)
+    again = toxicity_kn.fit(docs, labels)
+    data, offsets = tc.buffers(pa.array([r.text for r in docs.limit(20).collect()]))
+    text = toxicity_kn.Text(data, offsets)
+    assert np.allclose(again.curve, model.curve) and np.array_equal(again.compared([text]), model.compared([text]))
+
+
+def test_counts_that_meet_in_two_steps(fitted, brute):
+    docs, labels, _ = fitted
+    used = labelled.training_labels(labels, "toxic").filter(F.col("fold") != toxicity_kn.CURVE_FOLD).join(docs, "doc_id").repartition(6)
+    counts = toxicity_kn.count(used, 10**11)  # as if there were so many bytes
+    got = np.concatenate([np.frombuffer(bytes(r.payload), toxicity_kn.GRAM) for r in counts.grams.collect()])
+    want = {int.from_bytes(g, "big"): (brute.top[0][g], brute.top[1][g]) for g in brute.order[5]}
+    assert {int(x["g"]): (int(x["plain"]), int(x["toxic"])) for x in got} == want
+    assert len(got) == len(want)
+
+
+def test_counts_beyond_32_bits():
+    many = np.array([3 << 30, 3 << 30], np.uint64)
+    got = toxicity_kn._added(np.array([7, 7], np.uint64), {"plain": many, "toxic": many}, toxicity_kn.GRAM)
+    assert got["plain"].tolist() == got["toxic"].tolist() == [6 << 30]
+
+
+def test_curve_equals_that_of_all_rows_at_once(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(0.02, 0.003, 3000)
+    y = (rnd.random(3000) < 1 / (1 + np.exp(-900 * (x - 0.021)))).astype(int)
+    found = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, label int")
+    z = (x - x.mean()) / (x.std() + 1e-9)
+    slope, constant = fit_logistic(np.stack([z, np.ones(len(z))], axis=1), y, ridge=1e-6)
+    want = [slope / (x.std() + 1e-9), constant - slope * x.mean() / (x.std() + 1e-9)]
+    assert toxicity_kn.fit_curve(found) == pytest.approx(want, rel=1e-6)
+    assert toxicity_kn.fit_curve(found.filter("label = 1")) is None
